@@ -19,15 +19,21 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest key.  One pass over the key columns, pre-aggregated map-side."""
+def largest_group(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> int:
+    """Rows of the biggest key.  One pass over the key columns, pre-aggregated map-side.
+
+    ``weight`` names a column of row counts if ``df`` is already counted.
+    """
     if not keys:
         return df.count()
-    return key_counts(df, keys).agg(F.max("__n")).first()[0] or 0
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.groupBy(*keys).agg(rows.alias("__n")).agg(F.max("__n")).first()[0] or 0
 
 
-def is_skewed(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    return largest_group(df, keys) > hot_rows(df.sparkSession, limit)
+def is_skewed(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, weight: str | None = None
+) -> bool:
+    return largest_group(df, keys, weight) > hot_rows(df.sparkSession, limit)
 
 
 def attach_by_key(

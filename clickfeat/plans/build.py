@@ -101,7 +101,10 @@ def add_anchored(
     by_layout: dict[Layout, list[FeatureSpec]] = defaultdict(list)
     for spec in specs:
         by_layout[layout_of(spec, row)].append(spec)
-    out = df.repartition(anchor)
+    # A given number keeps adaptive execution from merging partitions by their
+    # shuffled size: the work per row after this shuffle is far above average.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartition(parts, anchor)
     for columns, members in sort_chains(by_layout):
         out = out.sortWithinPartitions(*columns)
         for keys, order in sorted(members, key=lambda m: -len(m[0]) - len(m[1])):
@@ -122,19 +125,23 @@ def add_anchored(
     return out
 
 
-def add_group_tables(df: DataFrame, specs: Sequence[FeatureSpec], limit: int) -> DataFrame:
-    """Aggregate features of any key sets from one pass over the clicks.
+def combination_counts(df: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
+    """Rows per combination of all columns the specs group by or aggregate, written once."""
+    used = sorted({c for s in specs for c in (*s.keys, *([s.value] if s.value else []))})
+    return materialise(df.groupBy(*used).agg(F.count(F.lit(1)).alias("__w")))
+
 
-    All columns involved are first counted as combinations.  Every key set rolls
-    up from that table, which is written once, so the clicks are not scanned
-    again per key set.  Group tables are counted too: small ones are broadcast,
-    the others joined with salts for hot keys.
+def add_group_tables(
+    df: DataFrame, base: DataFrame, specs: Sequence[FeatureSpec], limit: int
+) -> DataFrame:
+    """Aggregate features of any key sets, rolled up from the counted combinations.
+
+    The clicks are not scanned again per key set.  Group tables are counted:
+    small ones are broadcast, the others joined with salts for hot keys.
     """
     by_keys: dict[tuple[str, ...], list[FeatureSpec]] = defaultdict(list)
     for spec in specs:
         by_keys[tuple(sorted(spec.keys))].append(spec)
-    used = sorted({c for s in specs for c in (*s.keys, *([s.value] if s.value else []))})
-    base = materialise(df.groupBy(*used).agg(F.count(F.lit(1)).alias("__w")))
     sizes = base.agg(
         *[
             F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*keys), 14)).alias(f"k{i}")
@@ -148,6 +155,7 @@ def add_group_tables(df: DataFrame, specs: Sequence[FeatureSpec], limit: int) ->
             F.sum("__w").alias("__n"),
             *[weighted_measure(s.kind, s.value, "__w").alias(s.name) for s in group],
         )
+        # The sketch is off by under one percent.
         if sizes[f"k{i}"] * 1.1 <= most:
             out = out.join(F.broadcast(table.drop("__n")), list(keys), "left")
         else:
@@ -155,6 +163,21 @@ def add_group_tables(df: DataFrame, specs: Sequence[FeatureSpec], limit: int) ->
     return out
 
 
+def _skewed_sets(
+    df: DataFrame, base: DataFrame | None, key_sets: Iterable[tuple[str, ...]], limit: int
+) -> dict[tuple[str, ...], bool]:
+    """Which key sets have a hot key; a set is fine if part of it already is."""
+    found: dict[tuple[str, ...], bool] = {}
+    for keys in sorted(key_sets, key=len):
+        if any(not hot and set(part) <= set(keys) for part, hot in found.items()):
+            found[keys] = False
+        elif base is not None and set(keys) <= set(base.columns):
+            found[keys] = is_skewed(base, keys, limit, weight="__w")
+        else:
+            found[keys] = is_skewed(df, keys, limit)
+    return found
+
+
 def add_joined(
     df: DataFrame, specs: Sequence[FeatureSpec], time: str, row: str, wrap_day: bool, limit: int, skewed: bool | None
 ) -> DataFrame:
@@ -165,7 +188,13 @@ def add_joined(
     for spec in specs:
         if spec.kind in SEQUENCE_KINDS:
             sequences[tuple(sorted(spec.keys))][argument[spec.kind]].append(spec.name)
-    out = add_group_tables(df, aggregates, limit) if aggregates else df
+    base = combination_counts(df, aggregates) if aggregates else None
+    hot = (
+        _skewed_sets(df, base, sequences, limit)
+        if skewed is None
+        else {keys: skewed for keys in sequences}
+    )
+    out = df
     # Counts and slice summaries come from the narrow input, not from the widened result.
     for keys, names in sequences.items():
         out = add_sequence(
@@ -176,12 +205,12 @@ def add_joined(
             row=row,
             wrap_day=wrap_day,
             limit=limit,
-            skewed=skewed,
+            skewed=hot[keys],
             source=df,
         )
         copies = {twin: F.col(same[0]) for same in names.values() for twin in same[1:]}
         out = out.withColumns(copies) if copies else out
-    return out
+    return add_group_tables(out, base, aggregates, limit) if aggregates else out
 
 
 def add_features(

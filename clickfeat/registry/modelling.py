@@ -160,11 +160,11 @@ LONG_CTE = "ls as (" + " union all ".join(
 ) + ")"
 
 
-def _auc_sql(group: str, source: str, sc: str = "score") -> str:
+def _auc_sql(group: str, source: str, sc: str = "score", digits: int = 6) -> str:
     return f"""
     select {group}, round((sum(case when is_attributed = 1 then rk else 0 end)
              - sum(is_attributed) * (sum(is_attributed) + 1) / 2.0::double)
-             / (sum(is_attributed) * sum(1 - is_attributed))::double, 6) as auc
+             / (sum(is_attributed) * sum(1 - is_attributed))::double, {digits}) as auc
     from (select *, rank() over (partition by {group} order by {sc})
                  + (count(*) over (partition by {group}, {sc}) - 1) / 2.0::double as rk from {source})
     group by {group}"""
@@ -240,20 +240,20 @@ def auc_by_chunk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "fold_summary",
-    f"""select round(avg(auc), 5) as mean, round(stddev_pop(auc), 5) as std, round(1 - avg(auc), 5) as error
-        from ({_auc_sql('chunk_id', 'ck', 'p_channel')})""",
+    f"""select round(avg(auc), 8) as mean, round(stddev_pop(auc), 8) as std, round(1 - avg(auc), 8) as error
+        from ({_auc_sql('chunk_id', 'ck', 'p_channel', 12)})""",
     CHUNKED_CTE,
 )
 def fold_summary(spark: SparkSession, folder: str) -> DataFrame:
     out = score.fold_summary(chunk_scores(spark, folder))
-    return rounded(out, ["mean", "std", "error"], 5)
+    return rounded(out, ["mean", "std", "error"], 8)
 
 
 @query(
     "running_score",
     f"""select chunk_id, round(m, 5) as running from run""",
     CHUNKED_CTE,
-    f"per as ({_auc_sql('chunk_id', 'ck', 'p_channel')})",
+    f"per as ({_auc_sql('chunk_id', 'ck', 'p_channel', 12)})",
     "num as (select *, row_number() over (order by chunk_id) as i from per)",
     """w as (select a.chunk_id, sum(b.auc * (case when b.i = 1 then 1.0 else 0.2 end)::double * pow(0.8::double, a.i - b.i)) as m
        from num a join num b on b.i <= a.i group by a.chunk_id)""",

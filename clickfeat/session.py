@@ -31,6 +31,9 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Wide feature plans have several hundred generated classes; the default
+        # cache of 100 would compile them again for every run.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
     if master:
         builder = builder.master(master)
