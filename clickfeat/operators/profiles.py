@@ -133,8 +133,13 @@ def profile_file(profile: DataFrame, mean: DataFrame) -> DataFrame:
 
 
 def write_profiles(profile: DataFrame, path: str) -> None:
-    """One folder per key set, so a lookup reads only the sets it needs."""
-    profile.write.mode("overwrite").partitionBy("key_set").parquet(path)
+    """One folder per key set, so a lookup reads only the sets it needs.
+
+    Rebalancing brings a key set's rows together without putting a large one in
+    a single task, so there are few files per folder.
+    """
+    balanced = profile.hint("rebalance", "key_set")
+    balanced.write.mode("overwrite").partitionBy("key_set").parquet(path)
 
 
 def merge_rate(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ def add_sequence(
     source: DataFrame | None = None,
 ) -> DataFrame:
     """All sequence columns of one key set from one pass over the ordered clicks."""
-    now = epoch_seconds(time)
+    # A running count needs no time column.
+    timed = next_name or prev_name or next_epoch_name
+    now = epoch_seconds(time) if timed else F.lit(0)
     near = neighbours(df, keys, now, row=row, limit=limit, skewed=skewed, source=source)
     added = {}
     if next_name:

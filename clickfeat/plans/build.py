@@ -233,12 +233,12 @@ def add_features(
     others = [s for s in specs if anchor not in s.keys]
     out = add_joined(df, others, time, row, wrap_day, limit, None) if others else df
     if anchored:
-        over = key_counts(df, [anchor]).filter(F.col("__n") > limit)
-        hot = materialise(over.select(anchor))
-        if hot.isEmpty():
+        if not is_skewed(df, [anchor], limit):
             out = add_anchored(out, anchored, anchor, time, row, wrap_day)
         else:
-            hot = F.broadcast(hot)
+            # At most rows/limit anchors.
+            over = key_counts(df, [anchor]).filter(F.col("__n") > limit)
+            hot = F.broadcast(materialise(over.select(anchor)))
             cold = out.join(hot, anchor, "left_anti")
             cold = add_anchored(cold, anchored, anchor, time, row, wrap_day)
             # Features of the hot anchors are worked out on the narrow clicks.

@@ -15,7 +15,7 @@ from clickfeat.sources.readers import TIME_FORMAT
 
 def write_features(df: DataFrame, path: str, split: str = "split") -> None:
     """Parquet, one folder per split, so a reader of one split skips the others."""
-    df.write.mode("overwrite").partitionBy(split).parquet(path)
+    df.hint("rebalance", split).write.mode("overwrite").partitionBy(split).parquet(path)
 
 
 def submission(df: DataFrame, score: str, click_id: str = "click_id") -> DataFrame:
@@ -45,7 +45,7 @@ def write_gzip(df: DataFrame, path: str) -> None:
 
 def write_chunks(df: DataFrame, path: str, chunk: str = "chunk_id") -> None:
     """One folder per chunk number."""
-    df.write.mode("overwrite").partitionBy(chunk).parquet(path)
+    df.hint("rebalance", chunk).write.mode("overwrite").partitionBy(chunk).parquet(path)
 
 
 def write_mapping(pairs: DataFrame, path: str) -> None:
