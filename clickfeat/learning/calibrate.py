@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_isotonic(df: DataFrame, score: str, label: str, digits: int = 6) -> IsotonicRegressionModel:
+# Decimals a score keeps.  A score in 0..1 then has at most a million values,
+# which bounds the points the estimator gathers in its last step.
+DIGITS = 6
+
+
+def _kept(score: str, digits: int | None) -> Column:
+    value = F.col(score).cast("double")
+    return value if digits is None else F.round(value, digits)
+
+
+def fit_isotonic(df: DataFrame, score: str, label: str, digits: int | None = DIGITS) -> IsotonicRegressionModel:
     """Isotonic fit of the label on the score.
 
-    Rows are first averaged per score rounded to ``digits``, with their count
-    as weight: the same fit, over at most 10**digits points for scores in 0..1,
-    which bounds what the estimator gathers in its last step.
+    Rows are first averaged per score, with their count as weight, which gives
+    the same fit.  ``digits=None`` keeps scores as they are.
     """
-    points = df.groupBy(F.round(F.col(score).cast("double"), digits).alias("x")).agg(
+    points = df.groupBy(_kept(score, digits).alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
     )
     return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(points)
 
 
-def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, score: str, name: str) -> DataFrame:
-    scored = model.copy({model.featuresCol: score, model.predictionCol: name}).transform(
-        df.withColumn(score, F.col(score).cast("double"))
-    )
+def apply_isotonic(
+    model: IsotonicRegressionModel, df: DataFrame, score: str, name: str, digits: int | None = DIGITS
+) -> DataFrame:
+    renamed = model.copy({model.featuresCol: "__x", model.predictionCol: name})
+    scored = renamed.transform(df.withColumn("__x", _kept(score, digits))).drop("__x")
     return scored.withColumn(name, F.coalesce(F.nanvl(name, F.lit(0.0)), F.lit(0.0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -115,9 +116,8 @@ def random_ridge(df: DataFrame, size: int, params: Params | None = None, seed: i
     keep = max(1, int(round(cols * size)))
     fits = []
     for m in range(members):
-        # Column subset: the columns with the smallest seeded hash.
-        order = sorted(range(size), key=lambda i: hash((i * 2654435761 + m * 40503 + seed) % 4294967291))
-        slicer = VectorSlicer(inputCol=FEATURES, outputCol="subset", indices=sorted(order[:keep]))
+        subset = sorted(random.Random(seed + m).sample(range(size), keep))
+        slicer = VectorSlicer(inputCol=FEATURES, outputCol="subset", indices=subset)
         part = resample_by_weight(df.withColumn("__keep", F.lit(rows)), "__keep", seed + m, row)
         estimator = REGISTRY["ridge"].create(chosen).setFeaturesCol("subset")
         fits.append((estimator.fit(slicer.transform(part)), slicer))
