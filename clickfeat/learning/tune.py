@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from clickfeat.learning.learners import LABEL, SCORE, Learner, assemble, score
 from clickfeat.operators.score import auc_exact
 from clickfeat.operators.split import sample_exact, split_random
+from clickfeat.session import stored
 
 
 def auc_of(df: DataFrame, score_col: str = SCORE, label: str = LABEL) -> float:
@@ -25,7 +26,10 @@ def auc_of(df: DataFrame, score_col: str = SCORE, label: str = LABEL) -> float:
 def cross_validate(
     df: DataFrame, learner: Learner, params: Mapping | None = None, *, fold: str = "fold", k: int, test: DataFrame | None = None, row: str = "row_id"
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Out-of-fold scores of every row, AUC per fold, and test scores averaged over the folds."""
+    """Out-of-fold scores of every row, AUC per fold, and test scores averaged over the folds.
+
+    ``df`` is read once per fold and should be a stored table.
+    """
     held_out, tests = [], []
     for i in range(k):
         model = learner.fit(df.filter(F.col(fold) != i), params)
@@ -69,14 +73,11 @@ def tune(
     df: DataFrame, learner: Learner, *, trials: int = 10, sample: float | None = 0.1, seed: int = 0, fixed: Mapping | None = None, row: str = "row_id"
 ) -> DataFrame:
     """Table of trials: number, parameters as text, loss; best first."""
-    data = (sample_exact(df, sample, seed, row=row) if sample else df).cache()
+    data = stored(sample_exact(df, sample, seed, row=row) if sample else df, "tune")
     rows = []
-    try:
-        for i, params in enumerate(draw_params(learner.space, trials, seed)):
-            loss = validation_loss(data, learner, {**params, **(fixed or {})}, row=row)
-            rows.append((i, str(sorted(params.items())), loss))
-    finally:
-        data.unpersist()
+    for i, params in enumerate(draw_params(learner.space, trials, seed)):
+        loss = validation_loss(data, learner, {**params, **(fixed or {})}, row=row)
+        rows.append((i, str(sorted(params.items())), loss))
     trials_table = df.sparkSession.createDataFrame(rows, "trial int, params string, loss double")
     return trials_table.orderBy("loss", "trial")
 
@@ -100,7 +101,7 @@ def select_features(
     loss_of: Callable[[Sequence[str]], float] | None = None,
 ) -> DataFrame:
     """Random forward selection: a feature stays if it lowers the loss; at most 1.25 tries per candidate."""
-    data = (sample_exact(df, sample, seed, row=row) if sample else df).cache()
+    data = stored(sample_exact(df, sample, seed, row=row) if sample else df, "select")
 
     def loss(columns: Sequence[str]) -> float:
         return validation_loss(assemble(data, columns, label), learner, params, row=row)
@@ -109,21 +110,18 @@ def select_features(
     rng = random.Random(seed)
     kept, left = list(given), [c for c in candidates if c not in given]
     rows = []
-    try:
-        last = loss(kept)
-        for attempt in range(int(len(left) * 1.25)):
-            if not left:
-                break
-            feature = rng.choice(left)
-            now = loss([*kept, feature])
-            good = now < last
-            rows.append((attempt, feature, now, good))
-            if good:
-                kept.append(feature)
-                left.remove(feature)
-                last = now
-    finally:
-        data.unpersist()
+    last = loss(kept)
+    for attempt in range(int(len(left) * 1.25)):
+        if not left:
+            break
+        feature = rng.choice(left)
+        now = loss([*kept, feature])
+        good = now < last
+        rows.append((attempt, feature, now, good))
+        if good:
+            kept.append(feature)
+            left.remove(feature)
+            last = now
     return df.sparkSession.createDataFrame(
         rows, "attempt int, feature string, loss double, kept boolean"
     )

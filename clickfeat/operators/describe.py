@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clickfeat.functions.encode import map_label, truncate_text
 from clickfeat.operators.skew import row_index, running_totals
+from clickfeat.session import materialise
 
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -32,8 +33,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     Values are counted per distinct value; a running total gives each value the
     range of positions it fills, and only values at a wanted position are kept.
     """
-    counts = _long(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, "v", ["n"], ["column"])
+    counts = materialise(_long(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+    ranked = running_totals(counts, "v", ["n"], ["column"], ready=True)
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     marks = totals.select("column", "total", F.explode(wanted).alias("w")).select(

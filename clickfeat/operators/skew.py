@@ -232,15 +232,18 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_id"
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), ready: bool = False
 ) -> DataFrame:
     """Add ``<c>_before``: the sum of c over rows of the group with a smaller order value.
 
     ``df`` has one row per (group, order value).  Values are cut into ranges of
     about equal row count, so the running sum needs neither a global sort nor a
     single task; the range totals are a table of at most one row per range.
+    The input is read several times and is therefore written first, unless it
+    is ``ready`` (a stored table).
     """
     by = list(by)
+    df = df if ready else materialise(df)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / parts for i in range(1, parts)]
     bounds = sorted(set(df.approxQuantile(order, probs, 0.01))) if probs else []

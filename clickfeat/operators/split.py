@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,43 +75,42 @@ def split_nfold(df: DataFrame, k: int, n: int = 5, seed: int = 10, row: str = "r
     return df.withColumn("split", F.when(draw == k, "test").otherwise("train"))
 
 
-def _first_in_hash_order(df: DataFrame, want: Column, seed: int, row: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with hash rank below ``want`` (a column over ``__total``), and the rest.
+def _below_hash_rank(df: DataFrame, want: Callable[[int], int], seed: int, row: str) -> Column:
+    """Condition on ``__h``, ``__b`` and the row id that holds for the first rows in hash order.
 
-    Only the one hash bucket the cut falls into is ranked; other buckets are
-    kept or left whole, so nothing is sorted globally.
+    ``want`` turns the number of rows into the number wanted.  A count per hash
+    bucket tells which bucket the cut falls into; only that bucket's ids are
+    ranked, so the sample itself is a filter without shuffle or sort.
     """
-    bucketed = hash_bucket_columns(df, row, seed)
-    offsets = materialise(hash_offsets(bucketed)).withColumn("__want", want)
-    # At most 2**16 rows.
-    tagged = bucketed.join(F.broadcast(offsets), "__b")
-    end = F.col("__offset") + F.col("__n")
-    whole = tagged.filter(end <= F.col("__want")).select(*df.columns)
-    none = tagged.filter(F.col("__offset") >= F.col("__want")).select(*df.columns)
-    cut = tagged.filter((F.col("__offset") < F.col("__want")) & (end > F.col("__want")))
+    bucketed = hash_bucket_columns(df.select(row), row, seed)
+    offsets = materialise(hash_offsets(bucketed))
+    total = offsets.agg(F.max("__total")).first()[0] or 0
+    rows = min(want(total), total)
+    if rows <= 0:
+        return F.lit(False)
+    cut = offsets.filter((F.col("__offset") < rows) & (F.col("__offset") + F.col("__n") >= rows)).first()
     rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", row))
-    ranked = cut.withColumn("__rank", rank)
-    inside = F.col("__rank") <= F.col("__want") - F.col("__offset")
-    chosen = whole.unionByName(ranked.filter(inside).select(*df.columns))
-    rest = none.unionByName(ranked.filter(~inside).select(*df.columns))
-    return chosen, rest
+    inside = bucketed.filter(F.col("__b") == cut["__b"]).withColumn("__rank", rank)
+    last = inside.filter(F.col("__rank") == rows - cut["__offset"]).first()
+    same = F.col("__b") == cut["__b"]
+    tie = (F.col("__h") == last["__h"]) & (F.col(row) <= last[row])
+    return (F.col("__b") < cut["__b"]) | (same & ((F.col("__h") < last["__h"]) | tie))
 
 
 def sample_exact(df: DataFrame, ratio: float, seed: int = 0, columns: Sequence[str] | None = None, row: str = "row_id") -> DataFrame:
     """Exactly floor(ratio * n) rows without replacement."""
-    want = F.floor(F.col("__total") * F.lit(ratio)).cast("long")
-    chosen, _ = _first_in_hash_order(df, want, seed, row)
-    return chosen.select(*columns) if columns else chosen
+    chosen = _below_hash_rank(df, lambda n: int(n * ratio), seed, row)
+    return hash_bucket_columns(df, row, seed).filter(chosen).select(*(columns or df.columns))
 
 
 def split_random(df: DataFrame, *, ratio: float | None = None, rows: int | None = None, seed: int = 1024, row: str = "row_id") -> DataFrame:
     """Random holdout of a share or of a fixed number of rows, exact and repeatable."""
     if (ratio is None) == (rows is None):
         raise ValueError("give either ratio or rows")
-    want = F.ceil(F.col("__total") * F.lit(ratio)).cast("long") if rows is None else F.lit(rows)
-    chosen, rest = _first_in_hash_order(df, want, seed, row)
-    return rest.withColumn("split", F.lit("train")).unionByName(
-        chosen.withColumn("split", F.lit("valid"))
+    chosen = _below_hash_rank(df, lambda n: rows if ratio is None else math.ceil(n * ratio), seed, row)
+    flagged = hash_bucket_columns(df, row, seed)
+    return flagged.withColumn("split", F.when(chosen, "valid").otherwise("train")).select(
+        *df.columns, "split"
     )
 
 

@@ -14,7 +14,7 @@ from clickfeat.operators.describe import feature_union
 from clickfeat.plans.build import add_features
 from clickfeat.plans.specs import FINAL_FEATURES, NUMBERED_FEATURES, pick
 from clickfeat.registry.base import clicks_query, predictions, query, rounded
-from clickfeat.session import new_folder
+from clickfeat.session import new_folder, stored
 from clickfeat.sources.readers import clicks_from_events, read_clicks, with_chunk
 from clickfeat.streaming.profiles import MEASURES, latest_profiles, stream_profiles
 
@@ -145,6 +145,58 @@ def shuffle_batches(clicks: DataFrame) -> DataFrame:
     return split.shuffle_batches(clicks, 256, 5).select("row_id", "pos", "batch_id")
 
 
+# What the random splits leave fixed, whatever the hash.
+
+
+@clicks_query(
+    "split_random_sizes",
+    """select 'valid' as split, cast(ceil(count(*) * 0.1::double) as bigint) as n from clicks
+       union all select 'train', count(*) - cast(ceil(count(*) * 0.1::double) as bigint) from clicks""",
+)
+def split_random_sizes(clicks: DataFrame) -> DataFrame:
+    return split_random(clicks).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@clicks_query(
+    "folds_stratified_sizes",
+    """select is_attributed, cast(f as int) as fold, (n + 2 - f) // 3 as n
+       from (select is_attributed, count(*) as n from clicks group by is_attributed), range(3) r(f)""",
+)
+def folds_stratified_sizes(clicks: DataFrame) -> DataFrame:
+    return folds_stratified(clicks).groupBy("is_attributed", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@clicks_query("sample_exact_size", "select count(*) // 10 as n, count(*) // 10 as distinct_rows from clicks")
+def sample_exact_size(clicks: DataFrame) -> DataFrame:
+    return sample_exact(clicks).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("distinct_rows")
+    )
+
+
+@clicks_query(
+    "shuffle_batch_sizes",
+    "select row_id // 256 as batch_id, count(*) as n, min(row_id) as first, max(row_id) as last from clicks group by all",
+)
+def shuffle_batch_sizes(clicks: DataFrame) -> DataFrame:
+    """Positions are a permutation of the row numbers, so batches are as long as blocks of rows."""
+    return shuffle_batches(clicks).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last")
+    )
+
+
+@clicks_query(
+    "pair_random_cover",
+    "select row_id as neg_id, 1::bigint as pairs, 1 as pos_label from clicks where is_attributed = 0",
+)
+def pair_random_cover(clicks: DataFrame) -> DataFrame:
+    """Every negative is paired once, with a positive."""
+    pairs = match.pair_pos_neg(clicks, seed=7)
+    labels = clicks.select(F.col("row_id").alias("pos_id"), "is_attributed")
+    return pairs.join(labels, "pos_id").groupBy("neg_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.max("is_attributed").alias("pos_label")
+    )
+
+
 # ---- metrics ------------------------------------------------------------------
 
 
@@ -283,10 +335,11 @@ NUMBERS = ["ip_app_co", "ip_cu_c", "ip_app_chl_var_h", "app_chl_co", "hour", "ch
 
 
 def training_table(clicks: DataFrame) -> DataFrame:
-    """Clicks with a handful of features, a dense vector, weights and five folds."""
+    """Clicks with a handful of features, a dense vector, weights and three folds, stored."""
     features = add_features(clicks, pick("ip_app_co", "ip_cu_c", "ip_app_chl_var_h", "app_chl_co"))
     table = learners.assemble(features.withColumn("weight", row_weight()), NUMBERS)
-    return split.folds_contiguous(table, 3).select("row_id", "fold", "weight", "label", "features", *NUMBERS)
+    folds = split.folds_contiguous(table, 3)
+    return stored(folds.select("row_id", "fold", "weight", "label", "features", *NUMBERS), "training")
 
 
 def _fit_and_score(name: str, params: dict, prepare=None) -> None:
@@ -304,8 +357,7 @@ def hashed_table(clicks: DataFrame) -> DataFrame:
     hashed = hash_tokens(words, "tokens", 1 << 12)
     labelled = hashed.withColumn("label", F.col("is_attributed").cast("double"))
     weighted = labelled.withColumn("weight", row_weight())
-    kept = split.folds_contiguous(weighted, 3).select("row_id", "fold", "weight", "label", "features")
-    return kept
+    return split.folds_contiguous(weighted, 3).select("row_id", "fold", "weight", "label", "features")
 
 
 def category_table(clicks: DataFrame) -> DataFrame:
@@ -356,14 +408,13 @@ def learn_gbt_chunked(clicks: DataFrame) -> DataFrame:
 @clicks_query("learner_registry")
 def learner_registry(clicks: DataFrame) -> DataFrame:
     """Training AUC of every registered learner with its first parameter values."""
-    table = training_table(clicks).cache()
+    table = training_table(clicks)
     rows = []
     quick = {"mlp": {"layers": [len(NUMBERS), 4, 2], "maxIter": 3}}
     for name, learner in sorted(learners.REGISTRY.items()):
         params = quick.get(name, {"maxIter": 3} if name not in ("rf", "extra_trees") else {"numTrees": 3})
         model = learner.fit(table, params)
         rows.append((name, tune.auc_of(learners.score(model, table))))
-    table.unpersist()
     return clicks.sparkSession.createDataFrame(rows, "learner string, auc double")
 
 
@@ -375,6 +426,16 @@ def cv_oof(clicks: DataFrame) -> DataFrame:
     return oof.select("row_id", "fold", "label", "score")
 
 
+@clicks_query(
+    "cv_oof_rows",
+    "select row_id, cast(ntile(3) over (order by row_id) - 1 as int) as fold, is_attributed::double as label, true as scored from clicks",
+)
+def cv_oof_rows(clicks: DataFrame) -> DataFrame:
+    """Every row has one out-of-fold score between 0 and 1."""
+    scored = F.col("score").between(0, 1).alias("scored")
+    return cv_oof(clicks).select("row_id", "fold", "label", scored)
+
+
 @clicks_query("refit_predict")
 def refit_predict(clicks: DataFrame) -> DataFrame:
     table = training_table(clicks)
@@ -425,12 +486,21 @@ def stack_inputs(spark: SparkSession, folder: str) -> DataFrame:
     return match.concat_columns(base + models)
 
 
-@query("isotonic")
+@query(
+    "isotonic",
+    """select p.click_id, round(f.fit, 6) as calibrated from preds p join fit f on f.x = p.p_channel""",
+    "pt as (select p_channel as x, sum(is_attributed) as sy, count(*) as n from preds group by p_channel)",
+    # Monotone fit at x: the largest, over starts a <= x, of the smallest mean of a..b over ends b >= x.
+    """span as (select a.x as a, b.x as b, sum(c.sy) / sum(c.n)::double as m
+       from pt a join pt b on a.x <= b.x join pt c on c.x between a.x and b.x group by a.x, b.x)""",
+    "low as (select i.x, s.a, min(s.m) as m from pt i join span s on s.a <= i.x and s.b >= i.x group by i.x, s.a)",
+    "fit as (select x, max(m) as fit from low group by x)",
+)
 def isotonic(spark: SparkSession, folder: str) -> DataFrame:
     preds = predictions(spark, folder)
     model = calibrate.fit_isotonic(preds, "p_channel", "is_attributed")
     out = calibrate.apply_isotonic(model, preds, "p_channel", "calibrated")
-    return out.select("click_id", "calibrated")
+    return rounded(out.select("click_id", "calibrated"), ["calibrated"])
 
 
 ZERO = "(p_hour = 0 or p_channel = 0 or p_value = 0)"

@@ -86,3 +86,14 @@ def materialise(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """Write a table as Parquet under the shared folder and read it back.
+
+    For tables many jobs read, such as a training table: columns can be skipped
+    on reading, and a lost executor costs a re-read instead of a re-computation.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
