@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +99,15 @@ def ranked_report(ranked: DataFrame, title: Column, names: Mapping[str, str], pl
     return ranked.select("rank", line.alias("line"))
 
 
-def feature_union(lists: Mapping[str, Sequence[str]], df: DataFrame) -> DataFrame:
-    """Distinct names over several lists, with how many of the names are columns of ``df``."""
-    spark = df.sparkSession
-    rows = [(name, feature) for name, features in lists.items() for feature in features]
-    table = spark.createDataFrame(rows, "list string, feature string")
-    return table.select("feature").distinct()
+def top_by_correlation(df: DataFrame, cols: Sequence[str], target: str, k: int) -> DataFrame:
+    """The k columns most correlated with the target, by absolute value; one row each."""
+    one = df.agg(*[F.abs(F.corr(c, target)).alias(c) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("strength")) for c in cols])
+    # One row per column.
+    return one.select(F.inline(pairs)).orderBy(F.desc_nulls_last("strength"), "feature").limit(k)
+
+
+def feature_union(lists: Sequence[DataFrame]) -> DataFrame:
+    """Distinct names over several tables with a ``feature`` column, and how many tables have each."""
+    named = [df.select("feature").distinct() for df in lists]
+    return reduce(DataFrame.unionByName, named).groupBy("feature").agg(F.count(F.lit(1)).alias("lists"))

@@ -10,9 +10,9 @@ from clickfeat.functions.encode import row_weight
 from clickfeat.functions.tokens import hash_tokens, named
 from clickfeat.learning import calibrate, learners, tune
 from clickfeat.operators import match, score, split
-from clickfeat.operators.describe import feature_union
+from clickfeat.operators.describe import feature_union, top_by_correlation
 from clickfeat.plans.build import add_features
-from clickfeat.plans.specs import FINAL_FEATURES, NUMBERED_FEATURES, pick
+from clickfeat.plans.specs import pick
 from clickfeat.registry.base import clicks_query, predictions, query, rounded
 from clickfeat.session import new_folder, stored
 from clickfeat.sources.readers import clicks_from_events, read_clicks, with_chunk
@@ -61,18 +61,25 @@ def tail_rows(clicks: DataFrame) -> DataFrame:
     return split.tail_rows(clicks, clicks.count() * 4 // 10).select("row_id", "ip")
 
 
+UNION_COLUMNS = ["ip", "app", "device", "os", "channel", "day"]
+
+
+def _top_sql(target: str) -> str:
+    parts = " union all ".join(
+        f"select '{c}' as feature, abs(corr({c}, {target})) as strength from clicks" for c in UNION_COLUMNS
+    )
+    return f"select feature from (select * from ({parts}) order by strength desc, feature limit 3)"
+
+
 @clicks_query(
     "feature_union",
-    "select feature from (values "
-    + ", ".join(f"('{f}')" for f in sorted({s.name for s in FINAL_FEATURES + NUMBERED_FEATURES}))
-    + ") v(feature)",
+    f"select feature, count(*) as lists from ({_top_sql('is_attributed')} union all {_top_sql('hour')}) group by feature",
 )
 def feature_union_query(clicks: DataFrame) -> DataFrame:
-    lists = {
-        "final": [s.name for s in FINAL_FEATURES],
-        "numbered": [s.name for s in NUMBERED_FEATURES],
-    }
-    return feature_union(lists, clicks)
+    """Union of the columns that go most with the label and those that go most with the hour."""
+    return feature_union(
+        [top_by_correlation(clicks, UNION_COLUMNS, target, 3) for target in ("is_attributed", "hour")]
+    )
 
 
 # ---- splits and folds ---------------------------------------------------------
@@ -520,7 +527,7 @@ def _blend(name: str, column, sql: str) -> None:
 _blend("blend_mean", lambda: blend.mean(SCORES), AM)
 _blend("blend_geo", lambda: blend.geometric(SCORES), GM)
 _blend("blend_harmonic", lambda: blend.harmonic(SCORES), HM)
-_blend("blend_harmonic_true", lambda: blend.harmonic(SCORES, true_form=True), f"3 * ({HM})")
+_blend("blend_harmonic_true", lambda: blend.harmonic(SCORES, true_form=True), HM.replace("else 1 / (", "else 3 / ("))
 _blend("blend_final", lambda: blend.final(SCORES), f"({AM} + {HM} + {GM}) / 3")
 _blend(
     "blend_weighted",

@@ -172,3 +172,9 @@ def test_split_tail(spark):
     )
     out = split.split_tail(df, 2).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in out} == {"train": 4, "valid": 2, "supplement": 2, "test": 3}
+
+
+def test_block_columns(spark):
+    df = spark.createDataFrame([(1, 10, 11, 20, 21)], "id int, a_0 int, b_0 int, a_1 int, b_1 int")
+    assert encode.select_blocks(df, ["id"], 2, ["a"], drop=[0]).columns == ["id", "a_1"]
+    assert encode.group_fields(df, ["id"], 2, ["a", "b"]).columns == ["id", "a_0", "a_1", "b_0", "b_1"]
