@@ -519,9 +519,9 @@ HM = f"case when {ZERO} then 0.0::double else 1 / (1 / nullif(p_hour, 0) + 1 / n
 def _blend(name: str, column, sql: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         out = predictions(spark, folder).select("click_id", column().alias("p"))
-        return rounded(out, ["p"])
+        return rounded(out, ["p"], 9)
 
-    query(name, f"select click_id, round({sql}, 6) as p from preds")(run)
+    query(name, f"select click_id, round({sql}, 9) as p from preds")(run)
 
 
 _blend("blend_mean", lambda: blend.mean(SCORES), AM)
