@@ -10,21 +10,14 @@ from pyspark.sql import functions as F
 from clickfeat.operators.skew import attach_by_key
 
 
-def variance_of(n: Column, s: Column, ss: Column) -> Column:
-    """Sample variance from count, sum and sum of squares; null for fewer than two values."""
-    return F.when(n > 1, (n * ss - s * s) / (n * (n - 1)).cast("double"))
+def corrected_skewness(n: Column, population: Column) -> Column:
+    """Bias-corrected skewness from the population form.
 
-
-def skewness_of(n: Column, population: Column) -> Column:
-    """Bias-corrected skewness from the population form; null for fewer than three values."""
-    corrected = population * F.sqrt((n * (n - 1)).cast("double")) / (n - 2).cast("double")
-    return F.when(n > 2, corrected)
-
-
-def _sums(value: str) -> tuple[Column, Column, Column]:
-    """Count, sum and sum of squares; sums of integers stay exact."""
-    v = F.col(value)
-    return F.count(v), F.sum(v), F.sum(v * v)
+    Null for fewer than three values, 0 for equal values, where the population
+    form is null.
+    """
+    factor = F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
+    return F.when(n > 2, F.coalesce(population, F.lit(0.0)) * factor)
 
 
 def measure(kind: str, value: str | None) -> Column:
@@ -37,13 +30,13 @@ def measure(kind: str, value: str | None) -> Column:
         return F.count_distinct(F.col(value))
     if kind == "nunique_approx":
         return F.approx_count_distinct(F.col(value))
-    n, s, ss = _sums(value)
+    v = F.col(value).cast("double")
     if kind == "mean":
-        return s / F.nullif(n, F.lit(0)).cast("double")
+        return F.avg(v)
     if kind == "var":
-        return variance_of(n, s, ss)
+        return F.var_samp(v)
     if kind == "skew":
-        return skewness_of(n, F.skewness(F.col(value).cast("double")))
+        return corrected_skewness(F.count(v).cast("double"), F.skewness(v))
     raise ValueError(f"unknown measure kind {kind!r}")
 
 
@@ -71,26 +64,32 @@ def add_measures(
 
 
 def weighted_measure(kind: str, value: str | None, weight: str) -> Column:
-    """The same measure over a table of distinct value combinations with their row counts."""
+    """The same measure over a table of distinct value combinations with their row counts.
+
+    Power sums are taken in doubles: they are exact for small whole numbers such
+    as hours and days and cannot overflow for large groups.
+    """
     w = F.col(weight)
     if kind == "count":
         return F.sum(w)
-    v = F.col(value)
-    n = F.sum(F.when(v.isNotNull(), w).otherwise(0))
+    v = F.col(value).cast("double")
+    rows = F.sum(F.when(v.isNotNull(), w).otherwise(0))
     if kind == "count_nonnull":
-        return n
+        return rows
     if kind == "nunique":
-        return F.count_distinct(v)
-    s, ss = F.sum(w * v), F.sum(w * v * v)
+        return F.count_distinct(F.col(value))
+    n, s, ss = rows.cast("double"), F.sum(w * v), F.sum(w * v * v)
+    some = F.nullif(n, F.lit(0.0))
     if kind == "mean":
-        return s / F.nullif(n, F.lit(0)).cast("double")
+        return s / some
+    spread = n * ss - s * s
     if kind == "var":
-        return variance_of(n, s, ss)
+        return F.when(n > 1, F.greatest(spread, F.lit(0.0)) / F.nullif(n * (n - 1), F.lit(0.0)))
     if kind == "skew":
-        mean = s / n
-        second = ss / n - mean * mean
-        third = F.sum(w * v * v * v) / n - 3 * mean * ss / n + 2 * mean * mean * mean
-        return skewness_of(n, third / F.nullif(F.pow(second, F.lit(1.5)), F.lit(0.0)))
+        mean, second = s / some, spread / (some * some)
+        third = F.sum(w * v * v * v) / some - 3 * mean * ss / some + 2 * mean * mean * mean
+        population = F.when(second > 0, third / F.pow(F.nullif(second, F.lit(0.0)), F.lit(1.5)))
+        return corrected_skewness(n, population)
     raise ValueError(f"unknown measure kind {kind!r}")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickfeat.functions.timeparts import epoch_seconds, gap_seconds
-from clickfeat.operators.aggregate import skewness_of, variance_of, weighted_measure
+from clickfeat.operators.aggregate import corrected_skewness, weighted_measure
 from clickfeat.operators.sequence import NO_NEXT_CLICK, add_sequence
 from clickfeat.operators.skew import attach_by_key, is_skewed, key_counts
 from clickfeat.plans.specs import SEQUENCE_KINDS, FeatureSpec
@@ -79,11 +79,12 @@ def _window_columns(spec: FeatureSpec, w_all: Window, w_ordered: Window | None,
     if spec.kind == "count_nonnull":
         return F.count(v).over(w_all)
     if spec.kind == "mean":
-        return F.sum(v).over(w_all) / F.nullif(F.count(v).over(w_all), F.lit(0)).cast("double")
+        return F.avg(v).over(w_all)
     if spec.kind == "var":
-        return variance_of(F.count(v).over(w_all), F.sum(v).over(w_all), F.sum(v * v).over(w_all))
+        return F.var_samp(v).over(w_all)
     if spec.kind == "skew":
-        return skewness_of(F.count(v).over(w_all), F.skewness(v.cast("double")).over(w_all))
+        n = F.count(v).over(w_all).cast("double")
+        return corrected_skewness(n, F.skewness(v).over(w_all))
     now = epoch_seconds(time)
     if spec.kind == "cumcount":
         return (F.row_number().over(w_ordered) - 1).cast("long")

@@ -147,17 +147,26 @@ FINAL_FEATURES: list[FeatureSpec] = pick(
     """.split()
 )
 
-# The numbered list, kept under two name prefixes.
+def numbered(prefix: str = "X") -> list[FeatureSpec]:
+    """The numbered features 0..8; they are used under the prefixes X and XX."""
+    # Kind, keys and aggregated column by number.
+    rows = [
+        ("nunique", ("ip",), "channel"),
+        ("cumcount", ("ip", "device", "os"), "app"),
+        ("nunique", ("ip", "day"), "hour"),
+        ("nunique", ("ip",), "app"),
+        ("nunique", ("ip", "app"), "os"),
+        ("nunique", ("ip",), "device"),
+        ("nunique", ("app",), "channel"),
+        ("cumcount", ("ip",), "os"),
+        ("nunique", ("ip", "device", "os"), "app"),
+    ]
+    return [FeatureSpec(f"{prefix}{i}", *row) for i, row in enumerate(rows)]
+
+
+# The features kept beside the numbered ones.
 NUMBERED_FEATURES: list[FeatureSpec] = [
-    FeatureSpec("X0", "nunique", ("ip",), "channel"),
-    FeatureSpec("X1", "cumcount", ("ip", "device", "os"), "app"),
-    FeatureSpec("X2", "nunique", ("ip", "day"), "hour"),
-    FeatureSpec("X3", "nunique", ("ip",), "app"),
-    FeatureSpec("X4", "nunique", ("ip", "app"), "os"),
-    FeatureSpec("X5", "nunique", ("ip",), "device"),
-    FeatureSpec("X6", "nunique", ("app",), "channel"),
-    FeatureSpec("X7", "cumcount", ("ip",), "os"),
-    FeatureSpec("X8", "nunique", ("ip", "device", "os"), "app"),
+    *numbered(),
     FeatureSpec("ip_tcount", "count_nonnull", ("ip", "day", "hour"), "channel"),
     FeatureSpec("ip_app_count", "count_nonnull", ("ip", "app"), "channel"),
     FeatureSpec("ip_app_os_count", "count_nonnull", ("ip", "app", "os"), "channel"),

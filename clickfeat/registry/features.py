@@ -33,6 +33,8 @@ def spec_sql(spec: FeatureSpec) -> str:
         body = f"count({v}) over ({part})"
     elif spec.kind == "nunique":
         body = f"u_{spec.name}.x"
+    elif spec.kind == "skew":
+        body = f"round(u_{spec.name}.x, 5)"
     elif spec.kind == "mean":
         body = f"round(sum({v}) over ({part}) / count({v}) over ({part})::double, 6)"
     elif spec.kind == "var":
@@ -53,18 +55,24 @@ def spec_sql(spec: FeatureSpec) -> str:
 
 
 def specs_sql(specs: list[FeatureSpec]) -> str:
+    per_group = {
+        "nunique": "count(distinct {v})",
+        # Equal values have skewness 0.
+        "skew": "case when count({v}) > 2 then case when min({v}) = max({v}) then 0.0::double else skewness({v}) end end",
+    }
     joins = "".join(
-        f" join (select {', '.join(s.keys)}, count(distinct {s.value}) as x from t group by {', '.join(s.keys)})"
+        f" join (select {', '.join(s.keys)}, {per_group[s.kind].format(v=s.value)} as x from t group by {', '.join(s.keys)})"
         f" u_{s.name} using ({', '.join(s.keys)})"
         for s in specs
-        if s.kind == "nunique"
+        if s.kind in per_group
     )
     return f"select t.row_id, {', '.join(spec_sql(s) for s in specs)} from t{joins}"
 
 
 def run_specs(clicks: DataFrame, specs: list[FeatureSpec]) -> DataFrame:
     wide = add_features(clicks, specs).select("row_id", *[s.name for s in specs])
-    return rounded(wide, [s.name for s in specs if s.kind in ("mean", "var", "skew")])
+    wide = rounded(wide, [s.name for s in specs if s.kind == "skew"], 5)
+    return rounded(wide, [s.name for s in specs if s.kind in ("mean", "var")])
 
 
 def _register_specs(name: str, specs: list[FeatureSpec]) -> None:
@@ -409,6 +417,8 @@ BY_CODE = [
     spec_by_code("k0", ["ip", "app", "channel"], 0),
     spec_by_code("k1", ["ip", "app", "hour"], 1),
     spec_by_code("k2", ["ip", "app", "hour"], 2),
+    spec_by_code("k3", ["ip", "app", "hour"], 3),
+    spec_by_code("k3_app", ["app", "channel", "hour"], 3),
     spec_by_code("k4", ["ip", "channel"], 4),
     spec_by_code("k5", ["ip", "os"], 5),
 ]

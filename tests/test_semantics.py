@@ -178,3 +178,22 @@ def test_block_columns(spark):
     df = spark.createDataFrame([(1, 10, 11, 20, 21)], "id int, a_0 int, b_0 int, a_1 int, b_1 int")
     assert encode.select_blocks(df, ["id"], 2, ["a"], drop=[0]).columns == ["id", "a_1"]
     assert encode.group_fields(df, ["id"], 2, ["a", "b"]).columns == ["id", "a_0", "a_1", "b_0", "b_1"]
+
+
+def test_skewness_edges(spark):
+    rows = [(1, 5)] * 4 + [(2, 1), (2, 9)] + [(3, 0), (3, 0), (3, 7)]
+    df = spark.createDataFrame([(i, ip, v) for i, (ip, v) in enumerate(rows)], "row_id long, ip int, v int")
+    want = df.toPandas().groupby("ip").v.skew()
+    got = {r.ip: r.s for r in aggregate.add_skew(df, ["ip"], "v", "s").collect()}
+    assert got[1] == 0.0 and got[2] is None
+    assert got[3] == pytest.approx(want[3])
+
+
+def test_large_groups_do_not_overflow(spark):
+    """Power sums of a counted table stand for more rows than a bigint product could hold."""
+    base = spark.createDataFrame([(1, 3, 10**12), (1, 5, 10**12)], "app int, hour int, w long")
+    row = base.groupBy("app").agg(
+        *[aggregate.weighted_measure(k, "hour", "w").alias(k) for k in ("count", "mean", "var", "skew")]
+    ).first()
+    assert (row["count"], row.mean) == (2 * 10**12, 4.0)
+    assert row["var"] == pytest.approx(1.0) and row.skew == pytest.approx(0.0, abs=1e-9)
