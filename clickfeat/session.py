@@ -17,6 +17,9 @@ SLICE_ROWS = 4_000_000
 # A table is broadcast by hint only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 500_000
 
+# Folders of local sessions that name none, by application.
+_local_dirs: dict[str, str] = {}
+
 HOT_ROWS_CONF = "spark.clickfeat.hotRows"
 SLICE_ROWS_CONF = "spark.clickfeat.sliceRows"
 BROADCAST_ROWS_CONF = "spark.clickfeat.broadcastRows"
@@ -63,9 +66,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="clickfeat-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="clickfeat-")
+    return _local_dirs[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
