@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from clickfeat.llm.common import slices, texts_of
 
-CACHE = 250_000  # segments of the young table; the old one is as large
-BATCH = 2048  # texts whose new words go through one trie
-STEPS = 1_000_000
-PAIRS = 500_000
+CACHE = 60_000  # segments of the young table; the old one is as large
+BATCH = 1024  # texts whose new words go through one trie
+STEPS = 400_000
+PAIRS = 200_000
 # Fixed value: the word pattern of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,11 +57,10 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        sign, ids = _byte_of_sign(), data["model"]["vocab"]
+        ids = data["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.bytes_of = {i: s.encode() for s, i in self.special.items()}
-        ordinary = {i: bytes(sign[c] for c in token) for token, i in ids.items() if i not in self.bytes_of}
-        self.bytes_of |= ordinary
+        self.bytes_of = byte_table(path)
+        ordinary = {i: b for i, b in self.bytes_of.items() if i not in self.special.values()}
         self.rank_of_pair: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
@@ -258,8 +257,19 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> dict[int, bytes]:
+    """Bytes of each id; all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    sign = _byte_of_sign()
+    special = {t["id"]: t["content"].encode() for t in data["added_tokens"]}
+    return {i: bytes(sign[c] for c in t) for t, i in data["model"]["vocab"].items() if i not in special} | special
+
+
+def decoded(ids: list[int], table: dict[int, bytes]) -> str:
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -288,13 +298,13 @@ def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
 
 
 def decode(df: DataFrame, vocabulary: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of ``df`` but the ids of a null list give null, and ``out`` with the decoded text."""
+    """All columns of ``df`` and ``out`` with the decoded text; null ids give null."""
 
     @F.pandas_udf("string")
     def run(lists):
         import pandas as pd
 
-        own = encoder(vocabulary)
-        return pd.Series([None if ids is None else own.decode(ids.tolist()) for ids in lists], dtype=object)
+        own = byte_table(vocabulary)
+        return pd.Series([None if ids is None else decoded(ids.tolist(), own) for ids in lists], dtype=object)
 
     return df.withColumn(out, run(F.col(ids_col)))

@@ -13,7 +13,7 @@ from clickfeat.session import stored
 # Rows a Python task handles at once; texts of one slice are in memory together.
 SLICE_ROWS = 512
 
-__all__ = ["SLICE_ROWS", "slices", "stored", "texts_of"]
+__all__ = ["SLICE_ROWS", "kept", "slices", "stored", "texts_of"]
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,3 +31,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A small table written to the shared folder and read back.
+
+    The plan starts anew from files: it has no lineage, no constraints that grow from step to step, and a size that a
+    join can check before it broadcasts.
+    """
+    return stored(df, "step")

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfeat.llm.common import slices, stored, texts_of
-from clickfeat.session import materialise
+from clickfeat.llm.common import kept, slices, stored, texts_of
 
 WHITE = b" \t\n\x0b\x0c\r"
 WINDOW = 32  # bytes a cut depends on; below MIN_CHUNK, so a cut never depends on the text before the document
@@ -145,7 +144,7 @@ def exact_groups(
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     rows = texts_of(df, id_col, text_col)
     listed = stored(recipes(rows, colliding_chunks(rows, digest), digest), "recipes")
-    groups = materialise(
+    groups = kept(
         listed.groupBy("recipe").agg(
             F.count(F.lit(1)).alias("group_size"),
             F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id")).alias("best"),

@@ -23,7 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickfeat.session import materialise
+from clickfeat.llm.common import kept
+
 
 RADIUS = 6
 BLOCKS = 8
@@ -188,7 +189,7 @@ def fingerprint_edits(
     wide = hashed.groupBy(*row).agg(
         *[F.max(F.when(F.col("kind") == n, F.col(h))).alias(f"{p}{h}") for n, p in ((0, ""), (1, "e")) for h in ("h1", "h2")]
     ).drop("__range", "__row")
-    done = materialise(with_next(wide, "k", "tie", bounds, {"n1": "h1", "n2": "h2"}))
+    done = kept(with_next(wide, "k", "tie", bounds, {"n1": "h1", "n2": "h2"}))
     counted = done.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     asks = F.col("doc_id") % query_every == 0
     found = (
@@ -198,7 +199,7 @@ def fingerprint_edits(
         .agg(F.sum("n").alias("n"))
     )
     answered = done.withColumn("asks", asks).join(
-        materialise(found.withColumn("asks", F.lit(True))).select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "n", "asks"), ["h1", "h2", "asks"], "left"
+        kept(found.withColumn("asks", F.lit(True))).select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "n", "asks"), ["h1", "h2", "asks"], "left"
     )
     return answered.select(
         "doc_id",

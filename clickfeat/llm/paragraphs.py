@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfeat.llm.common import slices, stored, texts_of
-from clickfeat.llm.similar import WordHashes, linked_components, low_bits, min_hashes, shingle_set, words_of
-from clickfeat.session import materialise
+from clickfeat.llm.common import kept, slices, stored, texts_of
+from clickfeat.llm.similar import WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
 
 MIN_WORDS = 50
 SHINGLE = 5
@@ -103,12 +102,12 @@ def lines_of(text: str, min_words: int) -> list[tuple[int, list[bytes]]]:
 
 
 def paragraph_table(rows: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, start, n_words, class (digest of the words), bands, bits of every paragraph."""
+    """doc_id, start, n_words, class (digest of the words), bands, low and high of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in slices(batches):
-            docs, starts, sizes, classes, bands, bits = [], [], [], [], [], []
+            docs, starts, sizes, classes, bands, low, high = [], [], [], [], [], [], []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 for start, words in lines_of(text, min_words):
                     tokens = min_hashes(shingle_set(words, SHINGLE, known), BANDS * ROWS)
@@ -120,19 +119,22 @@ def paragraph_table(rows: DataFrame, min_words: int) -> DataFrame:
                     for row in tokens.reshape(BANDS, ROWS).T:
                         band = (band ^ (band >> np.uint64(29))) * _BASES[0] + row
                     bands.append(band.view(np.int64))
-                    bits.append(low_bits(tokens))
+                    one, two = two_bits(tokens)
+                    low.append(one)
+                    high.append(two)
             columns = [
                 pa.array(docs, pa.int64()),
                 pa.array(starts, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(classes, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
-                pa.array(bits, pa.int64()),
+                pa.array(low, pa.int64()),
+                pa.array(high, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "class", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "class", "bands", "low", "high"])
 
     return rows.mapInArrow(
-        run, "doc_id long, start long, n_words long, class binary, bands array<long>, bits long"
+        run, "doc_id long, start long, n_words long, class binary, bands array<long>, low long, high long"
     )
 
 
@@ -162,32 +164,32 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     windows = stored(window_table(rows), "windows")
     keys = ["key1", "key2"]
     ends = windows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    repeated = materialise(ends.filter("lo <> hi").select(*keys))
+    repeated = kept(ends.filter("lo <> hi").select(*keys))
     members = stored(windows.join(repeated, keys), "repeated")
     # A document counts once; both sums are pre-aggregated.
     first = members.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("first"))
     docs = members.select(*keys, "doc_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
-    described = materialise(first.join(docs, keys))
+    described = kept(first.join(docs, keys))
     return members.join(described, keys).select("doc_id", "start", F.lit(WINDOW).cast("long").alias("n_words"), "first", "n_docs")
 
 
 def repeated_paragraphs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The same columns for paragraphs at similarity 0.8 or more, by components."""
     units = stored(paragraph_table(rows, min_words), "paragraphs").withColumn("at", F.struct("doc_id", "start"))
-    classes = materialise(units.groupBy("class").agg(F.min("at").alias("id")))
+    classes = kept(units.groupBy("class").agg(F.min("at").alias("id")))
     heads = units.join(classes.select("class", F.col("id").alias("at")), ["class", "at"], "left_semi").dropDuplicates(["class", "at"])
-    keys = heads.select(F.explode("bands").alias("node"), F.col("at").alias("id"), "bits")
+    keys = heads.select(F.explode("bands").alias("node"), F.col("at").alias("id"), "low", "high")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = ids.select("id.doc_id", "id.start").groupBy("doc_id").agg(F.collect_set("start").alias("wanted"))
         return stored(paragraph_sets(rows.join(wanted, "doc_id").select("doc_id", "text", "wanted"), min_words), "shingles")
 
     comp = linked_components(keys, sets_of, NUMERATOR, DENOMINATOR)
-    named = materialise(classes.join(comp, "id", "left").select("class", F.coalesce("component", "id").alias("first")))
+    named = kept(classes.join(comp, "id", "left").select("class", F.coalesce("component", "id").alias("first")))
     members = units.select("doc_id", "start", "n_words", "class").join(named, "class")
     members = stored(members.select("doc_id", "start", "n_words", "first"), "members")
     docs = members.select("first", "doc_id").distinct().groupBy("first").agg(F.count(F.lit(1)).alias("n_docs"))
-    return members.join(materialise(docs.filter("n_docs > 1")), "first").select("doc_id", "start", "n_words", "first", "n_docs")
+    return members.join(kept(docs.filter("n_docs > 1")), "first").select("doc_id", "start", "n_words", "first", "n_docs")
 
 
 def repeated_passages(

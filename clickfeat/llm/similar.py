@@ -1,14 +1,16 @@
 """What both near-duplicate operators share: word shingles, min-hashes, verified links and their components.
 
-Candidates come as rows (node, id, bits): members of a node may be similar.  ``linked_components`` compares them in
-two steps, so that a group of many copies costs a comparison per member and not per pair:
+Candidates come as rows (node, id, low, high): members of a node may be similar.  ``linked_components`` compares them
+in two steps, so that a group of many copies costs a few comparisons per member and not one per pair:
 
-1. every member with the first member of its node; what passes is verified on full sets and gives components;
+1. every member with ``HUBS`` members of its node, chosen by hash; what passes is verified on full sets and gives
+   components;
 2. in nodes that still hold more than one component, members outside the node's largest component with all members
    of other components.  Every pair across components has such a member, so no link between components is missed.
 
-``bits`` holds the lowest bit of 64 min-hashes.  Sets with similarity s agree in 64 * (1 + s) / 2 bits on average; at
-0.8 fewer than ``AGREE`` bits agree with a probability below 2e-6, so this test may run before sets are fetched.
+``low`` and ``high`` hold two bits of each of 64 min-hashes.  Sets of similarity s agree in both bits of
+64 * (1 + 3 s) / 4 positions on average; at 0.8 fewer than ``AGREE`` agree with a probability below 5e-6, so this test
+may run before sets are fetched.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfeat.llm.common import slices
-from clickfeat.session import materialise
+from clickfeat.llm.common import kept, slices
 
-AGREE = 42
+AGREE = 40
+HUBS = 4
 BITS = 64
 
 _MULTIPLY, _ADD = np.random.default_rng(77).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
@@ -70,13 +72,17 @@ def min_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def low_bits(hashes: np.ndarray) -> int:
-    mixed = (hashes[:BITS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-    return int(np.packbits(mixed.astype(np.uint8)).view(">i8")[0])
+def two_bits(hashes: np.ndarray) -> tuple[int, int]:
+    """Two bits of each of the first 64 min-hashes, as two signed 64-bit numbers."""
+    mixed = (hashes[:BITS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
+    low, high = (np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(">i8")[0] for k in (0, 1))
+    return int(low), int(high)
 
 
-def agreeing(a: str, b: str):
-    return F.lit(BITS) - F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def agree(front: str = "hub_"):
+    """Whether the bits of a row agree with those in columns of the prefix in enough positions."""
+    apart = F.col("low").bitwiseXOR(F.col(f"{front}low")).bitwiseOR(F.col("high").bitwiseXOR(F.col(f"{front}high")))
+    return F.lit(BITS) - F.bit_count(apart) >= AGREE
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -84,7 +90,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round pre-aggregates minima and is written to the shared folder, so that plans stay short.
     """
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
     def state(df: DataFrame) -> tuple:
         # Sums of hashes as 32-bit parts cannot overflow.
@@ -97,13 +103,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # Large star: each larger neighbour of a node is joined to the node's smallest neighbour (or itself).
         both = now.union(now.select("v", "u"))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        up = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u")
+        large = kept(up.filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: smaller neighbours of a node, and the node, are joined to the smallest of them.
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.filter("u <> v").distinct())
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
+        down = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = kept(down.union(least.select("u", F.col("m").alias("v"))).distinct())
         before, seen = seen, state(now)
         if before == seen:
             break
@@ -114,35 +120,40 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def first_member_pairs(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every member with the first member of its node, where the bits agree."""
-    hubs = materialise(
-        keys.groupBy("node").agg(F.min(F.struct("id", "bits")).alias("h"), F.max("id").alias("top")).filter(F.col("top") != F.col("h.id"))
-    ).select("node", F.col("h.id").alias("a"), F.col("h.bits").alias("abits"))
-    near = (F.col("id") != F.col("a")) & (agreeing("bits", "abits") >= AGREE)
-    return keys.join(hubs, "node").filter(near).select("a", F.col("id").alias("b")).distinct()
+def hub_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of every member with the hubs of its node, where the bits agree."""
+    chosen = [
+        F.min(F.struct(F.xxhash64("id", F.lit(h)).alias("order"), "id", "low", "high")).alias(f"h{h}") for h in range(HUBS)
+    ]
+    nodes = keys.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"), *chosen).filter("least <> most")
+    hubs = nodes.select("node", F.explode(F.array_distinct(F.array(*[f"h{h}" for h in range(HUBS)]))).alias("h"))
+    hubs = kept(hubs.select("node", F.col("h.id").alias("hub"), F.col("h.low").alias("hub_low"), F.col("h.high").alias("hub_high")))
+    found = keys.join(hubs, "node").filter((F.col("id") != F.col("hub")) & agree())
+    return found.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def with_components(keys: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one component, with ``component``, ``n`` (rows of the node)."""
+    """Rows of nodes that hold more than one component, with ``component``, the node's largest component ``major``,
+    its rows ``n`` and those outside the largest component, ``rest``."""
     labelled = keys.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = labelled.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    sizes = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
+    nodes = sizes.groupBy("node").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("m")
     )
-    mixed = materialise(spread.filter("lo < hi").select("node", "n"))
-    return labelled.join(mixed, "node")
+    mixed = nodes.filter("components > 1").select(
+        "node", "n", F.col("m.component").alias("major"), (F.col("n") - F.col("m.c")).alias("rest")
+    )
+    return labelled.join(kept(mixed), "node")
 
 
 def cross_pairs(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components of a node where the bits agree: see the module's second step."""
-    sizes = mixed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
-    major = materialise(sizes.groupBy("node").agg(F.max(F.struct("c", "component")).alias("m")).select("node", F.col("m.component").alias("major")))
-    others = mixed.join(major, "node").filter("component <> major").select(
-        "node", F.col("id").alias("x"), F.col("bits").alias("xbits"), F.col("component").alias("xcomponent")
+    """Pairs (a, b), a < b, across components of a node where the bits agree: see the module's second step."""
+    others = mixed.filter("component <> major").select(
+        "node", *[F.col(c).alias(f"hub_{c}") for c in ("id", "low", "high", "component")]
     )
-    near = (F.col("component") != F.col("xcomponent")) & (agreeing("bits", "xbits") >= AGREE)
-    found = others.join(mixed.select("node", "id", "bits", "component"), "node").filter(near)
-    return found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    near = (F.col("component") != F.col("hub_component")) & agree()
+    found = others.join(mixed.select("node", "id", "low", "high", "component"), "node").filter(near)
+    return found.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -154,15 +165,15 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
-            keep = []
+            passed = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 if min(len(p), len(q)) * denominator < max(len(p), len(q)) * numerator:
-                    keep.append(False)
+                    passed.append(False)
                     continue
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(denominator * both >= numerator * (len(p) + len(q) - both) and both > 0)
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                passed.append(denominator * both >= numerator * (len(p) + len(q) - both) and both > 0)
+            yield part.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
 
     second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
@@ -175,25 +186,25 @@ def linked_components(
     sets_of: Callable[[DataFrame], DataFrame],
     numerator: int,
     denominator: int,
-    split: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame | None]] | None = None,
-    rounds: int = 6,
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None,
+    rounds: int = 3,
 ) -> DataFrame:
     """id, component of every id with a verified link.
 
-    ``sets_of`` gives the sets of the ids in a one-column table.  ``split``, if given, takes mixed rows and
-    components and returns the rows to compare now and the rows of smaller nodes to look at in the next round.
+    ``sets_of`` gives the sets of the ids in a one-column table.  ``split``, if given, takes mixed rows and returns
+    the rows to compare now and the rows of smaller nodes to look at in the next round.
     """
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs)
+        pairs = kept(pairs)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return materialise(verified(pairs, sets_of(ids), numerator, denominator))
+        return kept(verified(pairs, sets_of(ids), numerator, denominator))
 
-    edges = links(first_member_pairs(keys))
-    comp = materialise(components(edges))
+    edges = links(hub_pairs(keys))
+    comp = kept(components(edges))
     found, rest = None, keys
     for _ in range(rounds):
-        mixed = materialise(with_components(rest, comp))
+        mixed = kept(with_components(rest, comp))
         now, rest = split(mixed) if split else (mixed, None)
         pairs = cross_pairs(now)
         found = pairs if found is None else found.union(pairs)
@@ -201,8 +212,8 @@ def linked_components(
             rest = None
             break
     if rest is not None:  # whatever is still large is compared as it is
-        found = found.union(cross_pairs(materialise(with_components(rest, comp))))
+        found = found.union(cross_pairs(kept(with_components(rest, comp))))
     more = links(found.distinct())
     if more.isEmpty():
         return comp
-    return materialise(components(edges.union(more)))
+    return kept(components(edges.union(more)))
