@@ -17,13 +17,35 @@ CLICK_MAX = 306_495
 DOWN_MAX = 174_330_052
 
 
+def rule_edges(first: int, step: int, even_to: int, top: int, count: int) -> list[float]:
+    """Bin edges by a rule: even steps up to ``even_to``, then growing ones up to ``top``, ``count`` in all.
+
+    The tail grows geometrically, each edge being at least one above the one before.
+    """
+    edges = list(range(first, even_to + 1, step))
+    while len(edges) < count:
+        left = count - len(edges)
+        edges.append(max(edges[-1] + 1, round(edges[-1] * (top / edges[-1]) ** (1 / left))))
+    return [float(e) for e in edges]
+
+
 def click_edges() -> list[float]:
-    """Click bin edges 6, 24, 42, ... 4740; longer lists are a parameter of ``bin_edges``."""
-    return [float(6 + 18 * i) for i in range(264)]
+    """1,020 click bin edges over the whole range of totals; an exact list is a parameter of ``bin_edges``."""
+    return rule_edges(6, 18, 4740, 44_181_914, 1020)
+
+
+def download_edges() -> list[float]:
+    """235 download bin edges."""
+    return rule_edges(1, 1, 150, DOWN_MAX, 235)
 
 
 def combo_key(*cols: str) -> Column:
-    return F.concat_ws("_", *[F.col(c).cast("string") for c in cols])
+    """Values joined by ``_``; null if any of them is null, so that different keys stay different."""
+    parts = [F.col(c).cast("string") for c in cols]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = F.concat(joined, F.lit("_"), part)
+    return joined
 
 
 def hash_bucket(*cols: str, slots: int = 1 << 26) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
@@ -23,15 +23,24 @@ NAMED_TOKENS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("IXA", ("ip", "app")),
     ("AXO", ("app", "os")),
 )
-# Prefix and count column of the wider form.
-COUNT_TOKENS: Mapping[str, str] = {
-    "IDHC": "ip_day_hour_count",
-    "IAC": "ip_app_count",
-    "AOC": "ip_app_os_count",
-    "IDC": "ip_device_count",
-    "AC": "app_channel_count",
-    "NC": "next_click",
-}
+# Prefix and count column of the wider forms.
+COUNT_TOKENS: tuple[tuple[str, str], ...] = (
+    ("IDHC", "ip_day_hour_count"),
+    ("IAC", "ip_app_count"),
+    ("AOC", "ip_app_os_count"),
+    ("IDC", "ip_device_count"),
+    ("AC", "app_channel_count"),
+    ("NC", "next_click"),
+)
+# The further count tokens of the widest form.
+MORE_COUNT_TOKENS: tuple[tuple[str, str], ...] = (
+    ("IAH", "ip_app_hour_count"),
+    ("IAOH", "ip_app_os_hour_count"),
+    ("IDH", "ip_device_hour_count"),
+    ("ACHH", "app_channel_hour_count"),
+    ("IACH", "ip_app_channel_count"),
+    ("IACH", "ip_app_channel_hour_count"),
+)
 
 
 def lettered(cols: Sequence[str]) -> Column:
@@ -41,11 +50,9 @@ def lettered(cols: Sequence[str]) -> Column:
     )
 
 
-def named(with_counts: bool = False) -> Column:
-    """Prefixed tokens of the id columns and their crosses, optionally with count columns."""
-    parts = list(NAMED_TOKENS)
-    if with_counts:
-        parts += [(prefix, (col,)) for prefix, col in COUNT_TOKENS.items()]
+def named(counts: Sequence[tuple[str, str]] = ()) -> Column:
+    """Prefixed tokens of the id columns and their crosses, then those of the listed count columns."""
+    parts = [*NAMED_TOKENS, *((prefix, (col,)) for prefix, col in counts)]
     return F.array(
         *[
             F.concat(F.lit(prefix), F.concat_ws("_", *[F.col(c).cast("string") for c in cols]))

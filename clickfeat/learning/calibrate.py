@@ -7,21 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# Decimals a score keeps.  A score in 0..1 then has at most a million values,
-# which bounds the points the estimator gathers in its last step.
-DIGITS = 6
-
-
 def _kept(score: str, digits: int | None) -> Column:
     value = F.col(score).cast("double")
     return value if digits is None else F.round(value, digits)
 
 
-def fit_isotonic(df: DataFrame, score: str, label: str, digits: int | None = DIGITS) -> IsotonicRegressionModel:
+def fit_isotonic(df: DataFrame, score: str, label: str, digits: int | None = None) -> IsotonicRegressionModel:
     """Isotonic fit of the label on the score.
 
     Rows are first averaged per score, with their count as weight, which gives
-    the same fit.  ``digits=None`` keeps scores as they are.
+    the same fit.  Scores stay as they are; ``digits``, given at fit and at use,
+    rounds them for tables with more distinct scores than one should pool.
     """
     points = df.groupBy(_kept(score, digits).alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
@@ -30,7 +26,7 @@ def fit_isotonic(df: DataFrame, score: str, label: str, digits: int | None = DIG
 
 
 def apply_isotonic(
-    model: IsotonicRegressionModel, df: DataFrame, score: str, name: str, digits: int | None = DIGITS
+    model: IsotonicRegressionModel, df: DataFrame, score: str, name: str, digits: int | None = None
 ) -> DataFrame:
     renamed = model.copy({model.featuresCol: "__x", model.predictionCol: name})
     scored = renamed.transform(df.withColumn("__x", _kept(score, digits))).drop("__x")

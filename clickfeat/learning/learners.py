@@ -73,7 +73,7 @@ def assemble(df: DataFrame, columns: Sequence[str], label: str = "is_attributed"
 
 
 def hash_categories(
-    df: DataFrame, categories: Sequence[str], numbers: Sequence[str] = (), slots: int = 1 << 12, label: str = "is_attributed"
+    df: DataFrame, categories: Sequence[str], numbers: Sequence[str] = (), slots: int = 1 << 20, label: str = "is_attributed"
 ) -> DataFrame:
     """One-hot hashed categories and numbers as one sparse vector."""
     hasher = FeatureHasher(

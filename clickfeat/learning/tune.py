@@ -5,7 +5,9 @@ The loops here are over fits, each of which is a distributed Spark job.
 
 from __future__ import annotations
 
+import math
 import random
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -57,34 +59,49 @@ def validation_loss(df: DataFrame, learner: Learner, params: Mapping | None, *,
 
 
 def draw_params(space: Mapping[str, Sequence], trials: int, seed: int = 0) -> list[dict]:
-    """Seeded random parameter maps, without repeats while new ones can be drawn."""
-    rng = random.Random(seed)
-    drawn: list[dict] = []
-    for _ in range(trials * 20):
-        candidate = {name: rng.choice(list(values)) for name, values in space.items()}
-        if candidate not in drawn:
-            drawn.append(candidate)
-        if len(drawn) == trials:
-            break
-    return drawn
+    """Seeded random parameter maps without repeats: ``trials`` of them, or the whole space if it is smaller.
+
+    A map is a number in mixed radix, so that numbers are drawn and no product is listed.
+    """
+    names = list(space)
+    sizes = [len(space[n]) for n in names]
+    total = math.prod(sizes)
+    out = []
+    for number in random.Random(seed).sample(range(total), min(trials, total)):
+        chosen = {}
+        for name, size in zip(names, sizes):
+            number, at = divmod(number, size)
+            chosen[name] = space[name][at]
+        out.append(chosen)
+    return out
 
 
 def tune(
     df: DataFrame, learner: Learner, *, trials: int = 10, sample: float | None = 0.1, seed: int = 0, fixed: Mapping | None = None, row: str = "row_id"
 ) -> DataFrame:
-    """Table of trials: number, parameters as text, loss; best first."""
+    """Table of trials: number, parameters as text, loss; best first, trials without a loss last."""
     data = stored(sample_exact(df, sample, seed, row=row) if sample else df, "tune")
     rows = []
     for i, params in enumerate(draw_params(learner.space, trials, seed)):
         loss = validation_loss(data, learner, {**params, **(fixed or {})}, row=row)
-        rows.append((i, str(sorted(params.items())), loss))
+        if math.isnan(loss):
+            warnings.warn(f"trial {i}: the holdout has one class only, so it has no loss", stacklevel=2)
+        rows.append((i, str(sorted(params.items())), None if math.isnan(loss) else loss))
     trials_table = df.sparkSession.createDataFrame(rows, "trial int, params string, loss double")
-    return trials_table.orderBy("loss", "trial")
+    return trials_table.orderBy(F.col("loss").asc_nulls_last(), "trial")
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
     """The trial of least loss; the earliest of equals."""
-    return trials.orderBy("loss", "trial").limit(1)
+    return trials.orderBy(F.col("loss").asc_nulls_last(), "trial").limit(1)
+
+
+def search_loss(data: DataFrame, learner: Learner, searches: int, fixed: Mapping | None, seed: int, row: str) -> float:
+    """Least validation loss over ``searches`` drawn parameter maps; of ``fixed`` alone for none."""
+    drawn = draw_params(learner.space, searches, seed) if searches else [{}]
+    losses = [validation_loss(data, learner, {**params, **(fixed or {})}, row=row) for params in drawn]
+    known = [x for x in losses if not math.isnan(x)]
+    return min(known) if known else math.inf
 
 
 def select_features(
@@ -94,34 +111,44 @@ def select_features(
     candidates: Sequence[str],
     *,
     params: Mapping | None = None,
+    searches: int = 10,
+    passes: int = 1,
     label: str = "is_attributed",
     sample: float | None = 0.05,
     seed: int = 0,
     row: str = "row_id",
     loss_of: Callable[[Sequence[str]], float] | None = None,
 ) -> DataFrame:
-    """Random forward selection: a feature stays if it lowers the loss; at most 1.25 tries per candidate."""
-    data = stored(sample_exact(df, sample, seed, row=row) if sample else df, "select")
+    """Greedy forward selection over a seeded order of the candidates.
 
-    def loss(columns: Sequence[str]) -> float:
-        return validation_loss(assemble(data, columns, label), learner, params, row=row)
+    Each candidate is judged once per pass: with it added, the learner's parameters are searched anew
+    (``searches`` maps), and it is accepted if the best loss falls.  Rejected candidates come up again in the next
+    pass; a pass that accepts none is the last.
+    """
+    data = stored(sample_exact(df, sample, seed, row=row) if sample else df, "select")
 
-    loss = loss_of or loss
-    rng = random.Random(seed)
-    kept, left = list(given), [c for c in candidates if c not in given]
-    rows = []
-    last = loss(kept)
-    for attempt in range(int(len(left) * 1.25)):
-        if not left:
+    def searched(columns: Sequence[str]) -> float:
+        return search_loss(assemble(data, columns, label), learner, searches, params, seed, row)
+
+    judge = loss_of or searched
+    order = [c for c in candidates if c not in set(given)]
+    random.Random(seed).shuffle(order)
+    state = {"columns": list(given), "loss": judge(list(given))}
+
+    def accepted(name: str) -> tuple[str, float, bool]:
+        trial = judge([*state["columns"], name])
+        better = trial < state["loss"]
+        if better:
+            state.update(columns=[*state["columns"], name], loss=trial)
+        return name, trial, better
+
+    log: list[tuple] = []
+    for _ in range(passes):
+        verdicts = [accepted(name) for name in order]
+        log += verdicts
+        order = [name for name, _, better in verdicts if not better]
+        if len(order) == len(verdicts):
             break
-        feature = rng.choice(left)
-        now = loss([*kept, feature])
-        good = now < last
-        rows.append((attempt, feature, now, good))
-        if good:
-            kept.append(feature)
-            left.remove(feature)
-            last = now
     return df.sparkSession.createDataFrame(
-        rows, "attempt int, feature string, loss double, kept boolean"
+        [(i, *verdict) for i, verdict in enumerate(log)], "attempt int, feature string, loss double, kept boolean"
     )

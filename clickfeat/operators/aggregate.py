@@ -63,11 +63,12 @@ def add_measures(
     return attach_by_key(df, table, keys, "__n", limit=limit)
 
 
-def weighted_measure(kind: str, value: str | None, weight: str) -> Column:
+def weighted_measure(kind: str, value: str | None, weight: str, origin: float = 0.0) -> Column:
     """The same measure over a table of distinct value combinations with their row counts.
 
-    Power sums are taken in doubles: they are exact for small whole numbers such
-    as hours and days and cannot overflow for large groups.
+    Power sums are taken in doubles around ``origin``, a value in the middle of
+    the column: that leaves variance and skewness as they are and keeps large
+    values such as epoch seconds from cancelling.
     """
     w = F.col(weight)
     if kind == "count":
@@ -78,10 +79,11 @@ def weighted_measure(kind: str, value: str | None, weight: str) -> Column:
         return rows
     if kind == "nunique":
         return F.count_distinct(F.col(value))
+    v = v - F.lit(float(origin))
     n, s, ss = rows.cast("double"), F.sum(w * v), F.sum(w * v * v)
     some = F.nullif(n, F.lit(0.0))
     if kind == "mean":
-        return s / some
+        return s / some + F.lit(float(origin))
     spread = n * ss - s * s
     if kind == "var":
         return F.when(n > 1, F.greatest(spread, F.lit(0.0)) / F.nullif(n * (n - 1), F.lit(0.0)))

@@ -7,19 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickfeat.operators.skew import running_totals
+from clickfeat.operators.skew import row_index, running_totals
+from clickfeat.session import materialise
 
 
 def auc_exact(df: DataFrame, score: str, label: str = "is_attributed", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve with ties counted half; null without both classes.
 
     Rows are first counted per distinct score; the number of negatives below
-    each score is a distributed running total.
+    each score is a distributed running total.  Rows whose score is null or NaN
+    have no rank and are left out; a null group is a group of its own.
     """
     by = list(by)
     positive = (F.col(label) > 0).cast("long")
     per_score = (
-        df.filter(F.col(score).isNotNull())
+        df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(*by, F.col(score).cast("double").alias("__s"))
         .agg(F.sum(positive).alias("__pos"), F.sum(1 - positive).alias("__neg"))
     )
@@ -50,7 +52,7 @@ def auc_grid(df: DataFrame, score: str, label: str = "is_attributed", steps: int
     )
     index = F.least(F.greatest(index, F.lit(-1)), F.lit(top)).cast("int")
     positive = (F.col(label) > 0).cast("long")
-    counts = df.filter(s.isNotNull()).groupBy(index.alias("k")).agg(
+    counts = df.filter(s.isNotNull() & ~F.isnan(s)).groupBy(index.alias("k")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
     grid = df.sparkSession.range(-1, steps).select(F.col("id").cast("int").alias("k"))
@@ -92,19 +94,33 @@ def fold_summary(scores: DataFrame, score: str = "auc") -> DataFrame:
     )
 
 
+# Batches of one block; 0.8 to this power is below the last bit of a double against 1.
+BLOCK = 256
+
+
 def running_score(scores: DataFrame, order: str, score: str = "auc") -> DataFrame:
     """Running mean m = 0.2 * (4 m + score), started with the first score.
 
-    In closed form every score but the first weighs 0.2 * 0.8^(batches after it).
-    ``scores`` has one row per batch.
+    ``scores`` has one row per batch.  Batches are numbered and cut into blocks.  Inside a block the mean has a
+    closed form with powers of at most 0.8^-256, which a double holds.  What earlier blocks add is the end of the
+    block before and, damped by 0.8^256, of the one before that; a third would change no bit.
     """
-    w = Window.orderBy(order)
-    i = F.row_number().over(w) - 1
-    scaled = F.when(i == 0, F.col(score)).otherwise(F.lit(0.2) * F.col(score)) / F.pow(F.lit(0.8), i)
-    total = F.sum("__x").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        scores.withColumn("__x", scaled)
-        .withColumn("__i", i)
-        .withColumn("running", total * F.pow(F.lit(0.8), F.col("__i")))
-        .drop("__x", "__i")
+    numbered = row_index(scores, [order], "__i").withColumns(
+        {
+            "__block": F.floor(F.col("__i") / BLOCK).cast("long"),
+            "__at": (F.col("__i") % BLOCK).cast("double"),
+        }
+    )
+    share = F.when(F.col("__i") == 0, F.col(score)).otherwise(F.lit(0.2) * F.col(score))
+    inside = Window.partitionBy("__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    own = numbered.withColumn("__x", share / F.pow(F.lit(0.8), F.col("__at"))).withColumn(
+        "__own", F.sum("__x").over(inside) * F.pow(F.lit(0.8), F.col("__at"))
     )
+    ends = materialise(own.filter(F.col("__at") == BLOCK - 1).select("__block", F.col("__own").alias("__end")))
+    earlier = [
+        ends.select((F.col("__block") + back).alias("__block"), F.col("__end").alias(f"__end{back}")) for back in (1, 2)
+    ]
+    joined = own.join(earlier[0], "__block", "left").join(earlier[1], "__block", "left")
+    carry = F.coalesce("__end1", F.lit(0.0)) + F.lit(0.8**BLOCK) * F.coalesce("__end2", F.lit(0.0))
+    running = F.col("__own") + carry * F.pow(F.lit(0.8), F.col("__at") + 1)
+    return joined.select(*scores.columns, running.alias("running"))

@@ -140,18 +140,21 @@ def add_group_tables(
     by_keys: dict[tuple[str, ...], list[FeatureSpec]] = defaultdict(list)
     for spec in specs:
         by_keys[tuple(sorted(spec.keys))].append(spec)
+    moments = sorted({s.value for s in specs if s.kind in ("mean", "var", "skew")})
     sizes = base.agg(
         *[
             F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*keys), 14)).alias(f"k{i}")
             for i, keys in enumerate(by_keys)
-        ]
+        ],
+        *[F.round(F.avg(F.col(c).cast("double"))).alias(f"o_{c}") for c in moments],
     ).first()
+    origin = {c: sizes[f"o_{c}"] or 0.0 for c in moments}
     most = broadcast_rows(df.sparkSession)
     out = df
     for i, (keys, group) in enumerate(by_keys.items()):
         table = base.groupBy(*keys).agg(
             F.sum("__w").alias("__n"),
-            *[weighted_measure(s.kind, s.value, "__w").alias(s.name) for s in group],
+            *[weighted_measure(s.kind, s.value, "__w", origin.get(s.value, 0.0)).alias(s.name) for s in group],
         )
         # The sketch is off by under one percent.
         if sizes[f"k{i}"] * 1.1 <= most:

@@ -9,6 +9,9 @@ from clickfeat.functions import encode, timeparts, tokens
 from clickfeat.operators.aggregate import add_count
 from clickfeat.operators.profiles import HOUR_BUCKETS, filter_min_support, profiles
 from clickfeat.operators.sequence import next_click_epoch
+from clickfeat.operators.skew import neighbours
+from clickfeat.plans.build import add_features
+from clickfeat.plans.specs import FeatureSpec
 from clickfeat.registry.base import clicks_query, predictions, query, r
 
 COUNT_CTE = "c as (select *, count(*) over (partition by ip, app) as n from t)"
@@ -192,15 +195,21 @@ def round_trim(spark: SparkSession, folder: str) -> DataFrame:
 
 @clicks_query(
     "bin_edges",
-    """select row_id, cast((select count(*) from range(264) g(k) where 6 + 18 * k < n * 20) as int) as click_bin,
+    f"""select row_id,
+              cast((select count(*) from unnest({encode.click_edges()}) e(x) where x < n * n * 20) as int) as click_bin,
+              cast((select count(*) from unnest({encode.download_edges()}) e(x) where x < n * n * 7) as int) as down_bin,
               cast((n > 6)::int + (n > 24)::int + (n > 42)::int as int) as n_bin
        from c""",
     COUNT_CTE,
 )
 def bin_edges(clicks: DataFrame) -> DataFrame:
-    counted = _counted(clicks).withColumn("many", F.col("n") * 20)
+    """Squares of the counts reach far beyond the even steps of the edge lists."""
+    square = F.col("n") * F.col("n")
+    counted = _counted(clicks).withColumns({"many": square * 20, "loads": square * 7})
     binned = encode.bin_edges(counted, "many", encode.click_edges(), "click_bin")
-    return encode.bin_edges(binned, "n", [6, 24, 42], "n_bin").select("row_id", "click_bin", "n_bin")
+    binned = encode.bin_edges(binned, "loads", encode.download_edges(), "down_bin")
+    binned = encode.bin_edges(binned, "n", [6, 24, 42], "n_bin")
+    return binned.select("row_id", "click_bin", "down_bin", "n_bin")
 
 
 PROFILE_IP_CTE = """
@@ -328,6 +337,35 @@ def token_row_named(clicks: DataFrame) -> DataFrame:
     return clicks.select("row_id", F.array_join(tokens.named(), " ").alias("tokens"))
 
 
+COUNT_KEYS = {col: col.removesuffix("_count").split("_") for _, col in (*tokens.COUNT_TOKENS, *tokens.MORE_COUNT_TOKENS)}
+COUNT_KEYS.pop("next_click")
+
+
+@clicks_query(
+    "token_row_counts",
+    """select row_id, """
+    + " || ' ' || ".join(
+        f"'{prefix}' || " + ("coalesce(next_click, -1)" if col == "next_click" else f"cast(floor(log2({col} + 1)) as int)")
+        for prefix, col in (*tokens.COUNT_TOKENS, *tokens.MORE_COUNT_TOKENS)
+    )
+    + " as tokens from wide",
+    "wide as (select *, "
+    + ", ".join(f"count(*) over (partition by {', '.join(keys)}) as {col}" for col, keys in COUNT_KEYS.items())
+    + ", lead(row_id) over (partition by ip, app, device, os order by row_id) - row_id as next_click from clicks)",
+)
+def token_row_counts(clicks: DataFrame) -> DataFrame:
+    """All twelve count tokens; counts are coded as whole base-2 logarithms before."""
+    specs = [FeatureSpec(col, "count", tuple(keys)) for col, keys in COUNT_KEYS.items()]
+    wide = add_features(clicks, specs)
+    after = neighbours(clicks, ["ip", "app", "device", "os"], F.col("row_id")).select(
+        "row_id", F.coalesce(F.col("__next") - F.col("row_id"), F.lit(-1)).alias("next_click")
+    )
+    coded = wide.withColumns({col: encode.log2_int(F.col(col)) for col in COUNT_KEYS}).join(after, "row_id")
+    every = tokens.named((*tokens.COUNT_TOKENS, *tokens.MORE_COUNT_TOKENS))
+    only = F.slice(every, len(tokens.NAMED_TOKENS) + 1, F.size(every))
+    return coded.select("row_id", F.array_join(only, " ").alias("tokens"))
+
+
 @clicks_query("hash_tokens")
 def hash_tokens(clicks: DataFrame) -> DataFrame:
     hashed = tokens.hash_tokens(clicks.withColumn("tokens", tokens.named()), "tokens")

@@ -285,15 +285,15 @@ def accuracy_at(spark: SparkSession, folder: str) -> DataFrame:
 CHUNKED_CTE = "ck as (select *, click_id // 250 as chunk_id from preds)"
 
 
-def chunk_scores(spark: SparkSession, folder: str) -> DataFrame:
+def chunk_scores(spark: SparkSession, folder: str, which: str = "true") -> DataFrame:
     chunked = with_chunk(predictions(spark, folder), 250, "click_id")
-    return score.auc_exact(chunked, "p_channel", by=["chunk_id"]).select("chunk_id", "auc")
+    return score.auc_exact(chunked.filter(which), "p_channel", by=["chunk_id"]).select("chunk_id", "auc")
 
 
 @query("auc_by_chunk", f"select * from ({_auc_sql('chunk_id', 'ck', 'p_channel')}) where chunk_id % 2 = 0", CHUNKED_CTE)
 def auc_by_chunk(spark: SparkSession, folder: str) -> DataFrame:
     """Every second chunk is scored, as in progressive validation."""
-    out = chunk_scores(spark, folder).filter("chunk_id % 2 = 0")
+    out = chunk_scores(spark, folder, "chunk_id % 2 = 0")
     return rounded(out, ["auc"])
 
 
@@ -361,7 +361,7 @@ def _fit_and_score(name: str, params: dict, prepare=None) -> None:
 
 def hashed_table(clicks: DataFrame) -> DataFrame:
     words = clicks.withColumn("tokens", named())
-    hashed = hash_tokens(words, "tokens", 1 << 12)
+    hashed = hash_tokens(words, "tokens")
     labelled = hashed.withColumn("label", F.col("is_attributed").cast("double"))
     weighted = labelled.withColumn("weight", row_weight())
     return split.folds_contiguous(weighted, 3).select("row_id", "fold", "weight", "label", "features")
@@ -464,7 +464,7 @@ def select_features(clicks: DataFrame) -> DataFrame:
     features = add_features(clicks, pick("ip_app_co", "ip_cu_c", "app_chl_co"))
     return tune.select_features(
         features, learners.get_learner("lr"), ["hour"], ["ip_app_co", "ip_cu_c", "channel"],
-        params={"maxIter": 3}, sample=None,
+        params={"maxIter": 3}, searches=2, sample=None,
     )
 
 

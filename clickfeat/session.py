@@ -64,6 +64,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    chosen = spark.sparkContext.getCheckpointDir()  # by setCheckpointDir
+    if chosen:
+        return chosen.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     app = spark.sparkContext.applicationId

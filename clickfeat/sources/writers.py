@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +52,22 @@ def write_mapping(pairs: DataFrame, path: str) -> None:
     write_csv(pairs, path, header=False, sep="\t")
 
 
+def _status(spark, path: str):
+    """Hadoop's file status, None if there is no such file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getFileStatus(hadoop) if files.exists(hadoop) else None
+
+
+def input_files(df: DataFrame) -> list[list]:
+    """Name, size and time of each file that a table is read from; none for tables without files."""
+    found = []
+    for name in sorted(df.inputFiles()):
+        status = _status(df.sparkSession, name)
+        found.append([name, status.getLen() if status else 0, status.getModificationTime() if status else 0])
+    return found
+
+
 def cached_feature(
     df: DataFrame,
     folder: str,
@@ -63,17 +78,16 @@ def cached_feature(
 ) -> DataFrame:
     """Stored result of ``compute(df)`` if it is there, else compute, store and read it back.
 
-    The file name carries a digest of the spec and the input version, so a
-    changed spec or input never meets an old file.
+    The file name carries a digest of the spec, the input version and the
+    names, sizes and times of the files ``df`` reads, so a changed spec or input
+    never meets an old file.  Only a folder whose job finished counts as stored.
     """
+    version = json.dumps([version, input_files(df)])
     digest = hashlib.sha256(json.dumps([spec, version], sort_keys=True).encode()).hexdigest()[:16]
     path = f"{folder.rstrip('/')}/{name}-{digest}"
     spark = df.sparkSession
-    try:
+    if _status(spark, f"{path}/_SUCCESS") is not None:
         return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
     compute(df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
