@@ -2,12 +2,12 @@
 
 A document is the set of its distinct word shingles.  Each of several independent trees sends a document along a path
 that its own minwise tokens choose: at the root one token position per tree, below it ``BRANCHES`` positions that a
-hash of the path selects, so that two similar sets stay together with high probability and others part.  Nodes are
-compared exhaustively if at most ``SMALL`` documents are in them or outside their largest component so far; other nodes
+hash of the path selects, so that two similar sets stay together with high probability and others part.  Nodes of at
+most ``SMALL`` documents, and nodes that are mostly one component already, are compared exhaustively; other nodes
 branch on.  Every candidate pair is confirmed on the full sets.
 
-Recall: at similarity 0.8 a pair misses a tree's root node with probability 0.2 and each lower node with 0.2**3, so
-it misses all 10 trees with a probability below 3e-7.  Rows with the same words are one class and need no comparison.
+Recall: at similarity 0.8 a pair misses a tree's root node with probability 0.2 and each of at most three lower nodes
+with 0.2**2, so it misses all 10 trees with a probability below 5e-6.  Rows with the same words are one class and need no comparison.
 
 Defined cases: a document without words (or with null text) is empty, linked with nothing and kept; rows that repeat a
 document are in its class; a row with a null id takes no part, has a null component and is kept; other columns are
@@ -26,48 +26,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickfeat.llm.common import kept, slices, stored, texts_of
-from clickfeat.llm.similar import WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
+from clickfeat.llm.similar import HASHES, WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 TREES = 10
 TOKENS = 64
-BRANCHES = 3
+BRANCHES = 2
 SMALL = 16
 
 
 def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the words), roots (a root token per tree), sketch (16 bits per position), low and high."""
+    """doc_id, n_shingles, class (digest of the words), roots (a root token per tree), sketch (16 bits per position), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches):
-            sizes, classes, roots, sketches, low, high = [], [], [], [], [], []
+            sizes, classes, roots, sketches, bits = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 found = words_of(text)
                 shingles = shingle_set(found, words, hashes)
-                tokens = min_hashes(shingles, TOKENS)
+                tokens = min_hashes(shingles, HASHES)
                 sizes.append(len(shingles))
                 classes.append(hashlib.blake2b(b" ".join(found), digest_size=16).digest())
                 tree = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 roots.append(((tokens[:TREES] + tree) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
-                sketches.append((tokens >> np.uint64(20)).astype(np.uint16).tobytes())
-                one, two = two_bits(tokens)
-                low.append(one)
-                high.append(two)
+                sketches.append((tokens[:TOKENS] >> np.uint64(20)).astype(np.uint16).tobytes())
+                bits.append(two_bits(tokens))
             columns = [
                 part.column(0),
                 pa.array(sizes, pa.int64()),
                 pa.array(classes, pa.binary()),
                 pa.array(roots, pa.list_(pa.int64())),
                 pa.array(sketches, pa.binary()),
-                pa.array(low, pa.int64()),
-                pa.array(high, pa.int64()),
+                pa.array(bits, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "roots", "sketch", "low", "high"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "roots", "sketch", "bits"])
 
     return rows.mapInArrow(
-        run, "doc_id long, n_shingles long, class binary, roots array<long>, sketch binary, low long, high long"
+        run, "doc_id long, n_shingles long, class binary, roots array<long>, sketch binary, bits array<long>"
     )
 
 
@@ -100,16 +97,14 @@ def near_groups(
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"))
     )
     heads = signed.join(classes.select("class", F.col("id").alias("doc_id")), ["class", "doc_id"], "left_semi")
-    heads = stored(heads.dropDuplicates(["class", "doc_id"]).select(F.col("doc_id").alias("id"), "roots", "sketch", "low", "high"), "heads")
-    keys = heads.select(F.explode("roots").alias("node"), "id", "low", "high")
-
+    heads = stored(heads.dropDuplicates(["class", "doc_id"]).select(F.col("doc_id").alias("id"), "roots", "sketch", "bits"), "heads")
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         return stored(shingle_sets(texts, words), "shingles")
 
     def split(mixed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        few = (F.col("n") <= SMALL) | (F.col("rest") <= SMALL)
-        large = mixed.filter(~few).select("node", "id", "low", "high").join(heads.select("id", "sketch"), "id")
+        few = (F.col("n") <= SMALL) | (2 * F.col("rest") <= F.col("n"))
+        large = mixed.filter(~few).select("node", "id").join(heads.select("id", "sketch"), "id")
         spare = TOKENS - TREES
         start = F.pmod(F.col("node"), F.lit(spare))
         children = []
@@ -117,10 +112,10 @@ def near_groups(
             position = F.lit(TREES) + F.pmod(start + b * (spare // BRANCHES), F.lit(spare))
             token = F.col("sketch").substr((position * 2 + 1).cast("int"), F.lit(2))
             children.append(F.xxhash64("node", position, token))
-        below = large.select("id", "low", "high", F.explode(F.array(*children)).alias("node"))
+        below = large.select(F.explode(F.array(*children)).alias("node"), F.lit(-1).alias("place"), "id")
         return mixed.filter(few), kept(below)
 
-    comp = linked_components(keys, sets_of, numerator, denominator, split)
+    comp = linked_components(heads, sets_of, numerator, denominator, split)
     named = kept(
         classes.join(comp.select("id", "component"), "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     )

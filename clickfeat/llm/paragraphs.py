@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickfeat.llm.common import kept, slices, stored, texts_of
-from clickfeat.llm.similar import WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
+from clickfeat.llm.similar import HASHES, WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
 
 MIN_WORDS = 50
 SHINGLE = 5
@@ -102,39 +102,36 @@ def lines_of(text: str, min_words: int) -> list[tuple[int, list[bytes]]]:
 
 
 def paragraph_table(rows: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, start, n_words, class (digest of the words), bands, low and high of every paragraph."""
+    """doc_id, start, n_words, class (digest of the words), bands, bits of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in slices(batches):
-            docs, starts, sizes, classes, bands, low, high = [], [], [], [], [], [], []
+            docs, starts, sizes, classes, bands, bits = [], [], [], [], [], []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 for start, words in lines_of(text, min_words):
-                    tokens = min_hashes(shingle_set(words, SHINGLE, known), BANDS * ROWS)
+                    tokens = min_hashes(shingle_set(words, SHINGLE, known), HASHES)
                     docs.append(doc)
                     starts.append(start)
                     sizes.append(len(words))
                     classes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                     band = np.arange(1, BANDS + 1, dtype=np.uint64)
-                    for row in tokens.reshape(BANDS, ROWS).T:
+                    for row in tokens[: BANDS * ROWS].reshape(BANDS, ROWS).T:
                         band = (band ^ (band >> np.uint64(29))) * _BASES[0] + row
                     bands.append(band.view(np.int64))
-                    one, two = two_bits(tokens)
-                    low.append(one)
-                    high.append(two)
+                    bits.append(two_bits(tokens))
             columns = [
                 pa.array(docs, pa.int64()),
                 pa.array(starts, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(classes, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
-                pa.array(low, pa.int64()),
-                pa.array(high, pa.int64()),
+                pa.array(bits, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "class", "bands", "low", "high"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "class", "bands", "bits"])
 
     return rows.mapInArrow(
-        run, "doc_id long, start long, n_words long, class binary, bands array<long>, low long, high long"
+        run, "doc_id long, start long, n_words long, class binary, bands array<long>, bits array<long>"
     )
 
 
@@ -178,13 +175,13 @@ def repeated_paragraphs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     units = stored(paragraph_table(rows, min_words), "paragraphs").withColumn("at", F.struct("doc_id", "start"))
     classes = kept(units.groupBy("class").agg(F.min("at").alias("id")))
     heads = units.join(classes.select("class", F.col("id").alias("at")), ["class", "at"], "left_semi").dropDuplicates(["class", "at"])
-    keys = heads.select(F.explode("bands").alias("node"), F.col("at").alias("id"), "low", "high")
+    heads = stored(heads.select(F.col("at").alias("id"), F.col("bands").alias("roots"), "bits"), "heads")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = ids.select("id.doc_id", "id.start").groupBy("doc_id").agg(F.collect_set("start").alias("wanted"))
         return stored(paragraph_sets(rows.join(wanted, "doc_id").select("doc_id", "text", "wanted"), min_words), "shingles")
 
-    comp = linked_components(keys, sets_of, NUMERATOR, DENOMINATOR)
+    comp = linked_components(heads, sets_of, NUMERATOR, DENOMINATOR)
     named = kept(classes.join(comp, "id", "left").select("class", F.coalesce("component", "id").alias("first")))
     members = units.select("doc_id", "start", "n_words", "class").join(named, "class")
     members = stored(members.select("doc_id", "start", "n_words", "first"), "members")

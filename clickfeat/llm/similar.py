@@ -1,16 +1,17 @@
 """What both near-duplicate operators share: word shingles, min-hashes, verified links and their components.
 
-Candidates come as rows (node, id, low, high): members of a node may be similar.  ``linked_components`` compares them
-in two steps, so that a group of many copies costs a few comparisons per member and not one per pair:
+Every id has a list of roots; ids with an equal root, at the same place of the list, share a node and may be similar.
+``linked_components`` compares them in two steps, so that a group of many copies costs a few comparisons per member
+and not one per pair:
 
-1. every member with ``HUBS`` members of its node, chosen by hash; what passes is verified on full sets and gives
-   components;
+1. every member with ``HUBS`` members of its node; what passes is verified on full sets and gives components;
 2. in nodes that still hold more than one component, members outside the node's largest component with all members
    of other components.  Every pair across components has such a member, so no link between components is missed.
+   A pair is reported in the first node that it shares.
 
-``low`` and ``high`` hold two bits of each of 64 min-hashes.  Sets of similarity s agree in both bits of
-64 * (1 + 3 s) / 4 positions on average; at 0.8 fewer than ``AGREE`` agree with a probability below 5e-6, so this test
-may run before sets are fetched.
+``bits`` holds two bits of each of 256 min-hashes.  Sets of similarity s agree in both bits of 256 * (1 + 3 s) / 4
+positions on average; at 0.8 fewer than ``AGREE`` agree with a probability below 3e-6, so this test may run before
+sets are fetched.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from clickfeat.llm.common import kept, slices
 
-AGREE = 40
+HASHES = 256
+AGREE = 190
 HUBS = 4
-BITS = 64
 
 _MULTIPLY, _ADD = np.random.default_rng(77).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 
@@ -72,17 +73,24 @@ def min_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def two_bits(hashes: np.ndarray) -> tuple[int, int]:
-    """Two bits of each of the first 64 min-hashes, as two signed 64-bit numbers."""
-    mixed = (hashes[:BITS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
-    low, high = (np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(">i8")[0] for k in (0, 1))
-    return int(low), int(high)
+def two_bits(hashes: np.ndarray) -> list[int]:
+    """Two bits of each min-hash: for each 64 of them, the low ones and the high ones as signed 64-bit numbers."""
+    mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
+    low, high = (np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(">i8") for k in (0, 1))
+    return np.stack([low, high], axis=1).ravel().tolist()
 
 
-def agree(front: str = "hub_"):
-    """Whether the bits of a row agree with those in columns of the prefix in enough positions."""
-    apart = F.col("low").bitwiseXOR(F.col(f"{front}low")).bitwiseOR(F.col("high").bitwiseXOR(F.col(f"{front}high")))
-    return F.lit(BITS) - F.bit_count(apart) >= AGREE
+def agreement(mine: str = "bits", other: str = "hub_bits", longs: int = HASHES // 32):
+    """In how many positions both bits of two rows agree."""
+    total = F.lit(longs * 32)
+    for k in range(0, longs, 2):
+        low, high = (F.col(mine)[i].bitwiseXOR(F.col(other)[i]) for i in (k, k + 1))
+        total = total - F.bit_count(low.bitwiseOR(high))
+    return total
+
+
+def agree():
+    return agreement() >= AGREE
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -120,15 +128,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def hub_pairs(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of every member with the hubs of its node, where the bits agree."""
-    chosen = [
-        F.min(F.struct(F.xxhash64("id", F.lit(h)).alias("order"), "id", "low", "high")).alias(f"h{h}") for h in range(HUBS)
-    ]
-    nodes = keys.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"), *chosen).filter("least <> most")
-    hubs = nodes.select("node", F.explode(F.array_distinct(F.array(*[f"h{h}" for h in range(HUBS)]))).alias("h"))
-    hubs = kept(hubs.select("node", F.col("h.id").alias("hub"), F.col("h.low").alias("hub_low"), F.col("h.high").alias("hub_high")))
-    found = keys.join(hubs, "node").filter((F.col("id") != F.col("hub")) & agree())
+def hub_pairs(keys: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of every member with the hubs of its node, where the bits agree.
+
+    Edited copies are often nearer to what they were copied from than to each other.  So one hub is the member that
+    agrees most with the node's consensus, the majority of each bit; the others are chosen by hash.
+    Sums and extremes are pre-aggregated, and at most ``HUBS`` rows leave a node.
+    """
+    spread = keys.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shared = keys.join(kept(spread.filter("least <> most").select("node")), "node").join(heads.select("id", "bits"), "id")
+    shared = kept(shared.select("node", "id", "bits"))
+    lanes = F.lit((1 << 32) | 1)
+    # The first 64 positions are enough for a consensus.
+    sums = [F.sum(F.shiftrightunsigned(F.col("bits")[k], j).bitwiseAND(lanes)).alias(f"s{k}_{j}") for k in (0, 1) for j in range(32)]
+    counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+    def majority(k: int):
+        out = F.lit(0).cast("long")
+        for j in range(32):
+            column = F.col(f"s{k}_{j}")
+            for lane, bit in ((column.bitwiseAND(F.lit(0xFFFFFFFF)), j), (F.shiftrightunsigned(column, 32), j + 32)):
+                mask = (1 << bit) - ((1 << 64) if bit == 63 else 0)
+                out = out.bitwiseOR(F.when(lane * 2 > F.col("n"), F.lit(mask)).otherwise(F.lit(0)))
+        return out
+
+    consensus = kept(counted.select("node", F.array(majority(0), majority(1)).alias("hub_bits")))
+    ranked = shared.join(consensus, "node").select("node", "id", agreement(longs=2).alias("near"))
+    central = F.max(F.struct("near", F.xxhash64("id").alias("h"), "id")).alias("h0")
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(h)).alias("h"), "id")).alias(f"h{h}") for h in range(1, HUBS)]
+    nodes = ranked.groupBy("node").agg(central, *drawn)
+    each = nodes.select("node", F.explode(F.array_distinct(F.array(*[F.col(f"h{h}.id") for h in range(HUBS)]))).alias("id"))
+    hubs = each.join(heads.select("id", "bits"), "id")
+    hubs = kept(hubs.select("node", F.col("id").alias("hub"), F.col("bits").alias("hub_bits")))
+    found = shared.join(hubs, "node").filter((F.col("id") != F.col("hub")) & agree())
     return found.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -146,13 +178,18 @@ def with_components(keys: DataFrame, comp: DataFrame) -> DataFrame:
     return labelled.join(kept(mixed), "node")
 
 
-def cross_pairs(mixed: DataFrame) -> DataFrame:
+def cross_pairs(mixed: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, across components of a node where the bits agree: see the module's second step."""
-    others = mixed.filter("component <> major").select(
-        "node", *[F.col(c).alias(f"hub_{c}") for c in ("id", "low", "high", "component")]
+    full = kept(mixed.join(heads.select("id", "bits", "roots"), "id"))
+    others = full.filter("component <> major").select(
+        "node", *[F.col(c).alias(f"hub_{c}") for c in ("id", "bits", "component", "roots")]
     )
-    near = (F.col("component") != F.col("hub_component")) & agree()
-    found = others.join(mixed.select("node", "id", "low", "high", "component"), "node").filter(near)
+    # Two members outside the largest component meet in both orders; one is enough.
+    once = (F.col("component") == F.col("major")) | (F.col("id") < F.col("hub_id"))
+    same = F.zip_with("roots", "hub_roots", lambda a, b: a == b)
+    first = (F.col("place") < 0) | (F.array_position(same, True) == F.col("place") + 1)
+    near = (F.col("component") != F.col("hub_component")) & once & agree() & first
+    found = others.join(full, "node").filter(near)
     return found.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
 
 
@@ -182,17 +219,18 @@ def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
 
 
 def linked_components(
-    keys: DataFrame,
+    heads: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
     numerator: int,
     denominator: int,
     split: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None,
-    rounds: int = 3,
+    rounds: int = 4,
 ) -> DataFrame:
     """id, component of every id with a verified link.
 
-    ``sets_of`` gives the sets of the ids in a one-column table.  ``split``, if given, takes mixed rows and returns
-    the rows to compare now and the rows of smaller nodes to look at in the next round.
+    ``heads`` is a stored table of id, roots and bits.  ``sets_of`` gives the sets of the ids in a one-column table.
+    ``split``, if given, takes the rows of mixed nodes and returns those to compare now and the rows (node, place -1,
+    id) of smaller nodes to look at in the next round.
     """
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -200,20 +238,21 @@ def linked_components(
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         return kept(verified(pairs, sets_of(ids), numerator, denominator))
 
-    edges = links(hub_pairs(keys))
+    placed = heads.select("id", F.posexplode("roots").alias("place", "root"))
+    keys = placed.select(F.xxhash64("place", "root").alias("node"), "place", "id")
+    edges = links(hub_pairs(keys, heads))
     comp = kept(components(edges))
-    found, rest = None, keys
-    for _ in range(rounds):
+    found, rest = [], keys
+    for i in range(rounds):
         mixed = kept(with_components(rest, comp))
-        now, rest = split(mixed) if split else (mixed, None)
-        pairs = cross_pairs(now)
-        found = pairs if found is None else found.union(pairs)
+        now, rest = split(mixed) if split and i + 1 < rounds else (mixed, None)
+        found.append(cross_pairs(now, heads))
         if rest is None or rest.isEmpty():
-            rest = None
             break
-    if rest is not None:  # whatever is still large is compared as it is
-        found = found.union(cross_pairs(kept(with_components(rest, comp))))
-    more = links(found.distinct())
+    pairs = found[0]
+    for other in found[1:]:
+        pairs = pairs.union(other)
+    more = links(pairs.distinct())
     if more.isEmpty():
         return comp
     return kept(components(edges.union(more)))
