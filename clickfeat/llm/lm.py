@@ -99,7 +99,8 @@ def with_target(docs: DataFrame, labels: DataFrame, label_col: str, target: int,
     """doc_id, text, target (whether a label row of the document has the target value)."""
     chosen = labels.filter(F.col(label_col) == target).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     rows = texts_of(docs, id_col, text_col)
-    flagged = rows.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left")
+    # The same plan at every size: a target list that just fits a broadcast would not fit with more labels.
+    flagged = rows.join(chosen.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
     return flagged.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
