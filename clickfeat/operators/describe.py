@@ -22,10 +22,17 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe_basic(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean, max and min per column, from one pass."""
-    return _long(df, cols).groupBy("column").agg(
-        F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min")
+    """Mean, max and min per column, from one pass and one row; columns without values are left out."""
+    measures = {"mean": F.avg, "max": F.max, "min": F.min}
+    row = df.agg(
+        *[f(F.col(c).cast("double")).alias(f"{name}_{i}") for i, c in enumerate(cols) for name, f in measures.items()]
     )
+    each = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in measures])
+        for i, c in enumerate(cols)
+    ]
+    unpivoted = row.select(F.explode(F.array(*each)).alias("p"))
+    return unpivoted.select("p.column", *[f"p.{name}" for name in measures]).filter("mean is not null")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:

@@ -152,8 +152,8 @@ def _fallback_cte(name: str, source: str, keep: str, floor: bool) -> str:
 
 ALL_PROFILES_CTE = f"pc as ({_profile_sets_sql(PROFILE_KEY_SETS)})"
 LOOKUP_CTES = (
-    f"lc as ({_profile_sets_sql(LOOKUP_KEY_SETS, LOOKUP_FILTER)})",
-    f"lp as (select *, {RATES_SQL} from lc)",
+    f"lc as materialized ({_profile_sets_sql(LOOKUP_KEY_SETS, LOOKUP_FILTER)})",
+    f"lp as materialized (select *, {RATES_SQL} from lc)",
     _fallback_cte("lm", "lc", "clk <= 10000", False),
 )
 

@@ -12,6 +12,10 @@ from clickfeat.operators.profiles import HOUR_BUCKETS
 MEASURES = ["clk", "down", *HOUR_BUCKETS]
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def running_counts(stream: DataFrame, keys: Sequence[str], label: str = "is_attributed") -> DataFrame:
     """Clicks, downloads and four-hour counts per key; additive, so a stateful aggregate suffices."""
     six = F.floor(F.col("hour") / 4)
@@ -37,6 +41,8 @@ def stream_profiles(
     Every batch goes to its own folder, so a batch repeated after a failure
     replaces what it wrote before.
     """
+    # Key states spill to disk instead of filling the executors' memory.
+    spark.conf.set(STATE_STORE, ROCKSDB)
     schema = spark.read.parquet(path).schema
     source = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
