@@ -13,6 +13,8 @@ from clickfeat.session import hot_rows, materialise, slice_rows
 # Rows are spread over this many equal ranges of a 64-bit hash when an exact
 # rank in hash order is needed.  It bounds the offset table (rows per group).
 HASH_BUCKETS_LOG2 = 16
+# Bits of the hash that random orders follow.
+HASH_BITS = 60
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,11 +178,16 @@ def neighbours(
     )
 
 
+def seeded_hash(seed: int, col: Column) -> Column:
+    """Non-negative 60-bit number from the MD5 of ``seed|value``: any SQL engine can repeat the order it gives."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), col.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def hash_bucket_columns(df: DataFrame, row: str, seed: int) -> DataFrame:
-    """Add ``__h`` (seeded 64-bit hash of the row id) and ``__b`` (its leading bits)."""
-    hashed = F.xxhash64(F.col(row), F.lit(seed).cast("long"))
-    return df.withColumn("__h", hashed).withColumn(
-        "__b", F.shiftrightunsigned("__h", 64 - HASH_BUCKETS_LOG2)
+    """Add ``__h`` (``seeded_hash`` of the row id) and ``__b`` (its leading bits)."""
+    return df.withColumn("__h", seeded_hash(seed, F.col(row))).withColumn(
+        "__b", F.shiftright("__h", HASH_BITS - HASH_BUCKETS_LOG2)
     )
 
 

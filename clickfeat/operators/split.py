@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickfeat.functions.encode import TEST_HOURS
-from clickfeat.operators.skew import hash_bucket_columns, hash_offsets, hash_position
+from clickfeat.operators.skew import hash_bucket_columns, hash_offsets, hash_position, seeded_hash
 from clickfeat.session import materialise
 
 
@@ -71,7 +71,7 @@ def folds_stratified(df: DataFrame, k: int = 3, seed: int = 42, label: str = "is
 
 def split_nfold(df: DataFrame, k: int, n: int = 5, seed: int = 10, row: str = "row_id") -> DataFrame:
     """A row is test if its seeded draw from 1..n is k."""
-    draw = F.pmod(F.xxhash64(F.col(row), F.lit(seed).cast("long")), F.lit(n)) + 1
+    draw = F.pmod(seeded_hash(seed, F.col(row)), F.lit(n)) + 1
     return df.withColumn("split", F.when(draw == k, "test").otherwise("train"))
 
 

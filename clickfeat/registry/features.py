@@ -329,7 +329,18 @@ def pair_equal(clicks: DataFrame) -> DataFrame:
     return match.pair_pos_neg(clicks, mode="equal")
 
 
-@clicks_query("pair_random")
+def _shuffled_sql(name: str, where: str) -> str:
+    order = "('0x' || substr(md5('7|' || row_id), 1, 15))::bigint, row_id"
+    return f"{name} as (select row_id, row_number() over (order by {order}) - 1 as i from clicks where {where})"
+
+
+@clicks_query(
+    "pair_random",
+    """select p.row_id as pos_id, n.row_id as neg_id from negatives n
+       join positives p on p.i = n.i % (select count(*) from positives)""",
+    _shuffled_sql("positives", "is_attributed > 0"),
+    _shuffled_sql("negatives", "is_attributed = 0"),
+)
 def pair_random(clicks: DataFrame) -> DataFrame:
     return match.pair_pos_neg(clicks, seed=7)
 

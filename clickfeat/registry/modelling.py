@@ -106,17 +106,30 @@ def split_position_hour(clicks: DataFrame) -> DataFrame:
     return split.split_position_hour(clicks, clicks.count() * 6 // 10).select("row_id", "split")
 
 
-@clicks_query("split_random")
+def _hash_sql(seed: int) -> str:
+    """SQL of the seeded hash that random orders follow."""
+    return f"('0x' || substr(md5('{seed}|' || row_id), 1, 15))::bigint"
+
+
+def _split_sql(rows: str) -> str:
+    return f"""select row_id, case when row_number() over (order by {_hash_sql(1024)}, row_id) <= {rows}
+                      then 'valid' else 'train' end as split from clicks"""
+
+
+@clicks_query("split_random", _split_sql("(select ceil(count(*) * 0.1::double) from clicks)"))
 def split_random(clicks: DataFrame) -> DataFrame:
     return split.split_random(clicks, ratio=0.1).select("row_id", "split")
 
 
-@clicks_query("split_random_rows")
+@clicks_query("split_random_rows", _split_sql("(select count(*) // 20 from clicks)"))
 def split_random_rows(clicks: DataFrame) -> DataFrame:
     return split.split_random(clicks, rows=clicks.count() // 20).select("row_id", "split")
 
 
-@clicks_query("split_nfold_random")
+@clicks_query(
+    "split_nfold_random",
+    f"select row_id, case when {_hash_sql(10)} % 5 + 1 = 1 then 'test' else 'train' end as split from clicks",
+)
 def split_nfold_random(clicks: DataFrame) -> DataFrame:
     return split.split_nfold(clicks, k=1, n=5).select("row_id", "split")
 
@@ -137,17 +150,30 @@ def folds_by_chunk(clicks: DataFrame) -> DataFrame:
     return split.folds_by_chunk(clicks, 64, 4).select("row_id", "fold")
 
 
-@clicks_query("folds_stratified")
+@clicks_query(
+    "folds_stratified",
+    f"""select row_id, is_attributed,
+               cast((row_number() over (partition by is_attributed order by {_hash_sql(42)}, row_id) - 1) % 3 as int) as fold
+        from clicks""",
+)
 def folds_stratified(clicks: DataFrame) -> DataFrame:
     return split.folds_stratified(clicks).select("row_id", "is_attributed", "fold")
 
 
-@clicks_query("sample_exact")
+@clicks_query(
+    "sample_exact",
+    f"""select row_id, ip, app, is_attributed from clicks
+        qualify row_number() over (order by {_hash_sql(3)}, row_id) <= (select floor(count(*) * 0.1::double) from clicks)""",
+)
 def sample_exact(clicks: DataFrame) -> DataFrame:
     return split.sample_exact(clicks, 0.1, 3, ["row_id", "ip", "app", "is_attributed"])
 
 
-@clicks_query("shuffle_batches")
+@clicks_query(
+    "shuffle_batches",
+    f"""select row_id, pos, pos // 256 as batch_id
+        from (select row_id, row_number() over (order by {_hash_sql(5)}, row_id) - 1 as pos from clicks)""",
+)
 def shuffle_batches(clicks: DataFrame) -> DataFrame:
     return split.shuffle_batches(clicks, 256, 5).select("row_id", "pos", "batch_id")
 
