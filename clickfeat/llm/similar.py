@@ -135,9 +135,7 @@ def hub_pairs(keys: DataFrame, heads: DataFrame) -> DataFrame:
     agrees most with the node's consensus, the majority of each bit; the others are chosen by hash.
     Sums and extremes are pre-aggregated, and at most ``HUBS`` rows leave a node.
     """
-    spread = keys.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    shared = keys.join(kept(spread.filter("least <> most").select("node")), "node").join(heads.select("id", "bits"), "id")
-    shared = kept(shared.select("node", "id", "bits"))
+    shared = kept(keys.join(heads.select("id", "bits"), "id").select("node", "id", "bits"))
     lanes = F.lit((1 << 32) | 1)
     # The first 64 positions are enough for a consensus.
     sums = [F.sum(F.shiftrightunsigned(F.col("bits")[k], j).bitwiseAND(lanes)).alias(f"s{k}_{j}") for k in (0, 1) for j in range(32)]
@@ -240,6 +238,9 @@ def linked_components(
 
     placed = heads.select("id", F.posexplode("roots").alias("place", "root"))
     keys = placed.select(F.xxhash64("place", "root").alias("node"), "place", "id")
+    # Most nodes have one member and are gone after this narrow count.
+    several = keys.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    keys = kept(keys.join(kept(several), "node"))
     edges = links(hub_pairs(keys, heads))
     comp = kept(components(edges))
     found, rest = [], keys
