@@ -7,7 +7,8 @@ and not one per pair:
 1. every member with ``HUBS`` members of its node; what passes is verified on full sets and gives components;
 2. in nodes that still hold more than one component, members outside the node's largest component with all members
    of other components.  Every pair across components has such a member, so no link between components is missed.
-   A pair is reported in the first node that it shares.
+   Where ``split`` sends large root nodes on to smaller ones, those are not compared; a pair is reported in the first
+   shared node that is.
 
 ``bits`` holds two bits of each of 256 min-hashes.  Sets of similarity s agree in both bits of 256 * (1 + 3 s) / 4
 positions on average; at 0.8 fewer than ``AGREE`` agree with a probability below 3e-6, so this test may run before
@@ -178,7 +179,11 @@ def with_components(keys: DataFrame, comp: DataFrame) -> DataFrame:
 
 def cross_pairs(mixed: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, across components of a node where the bits agree: see the module's second step."""
-    full = kept(mixed.join(heads.select("id", "bits", "roots"), "id"))
+    # Root nodes that branch on are not compared here and must not count as a pair's first node.
+    compared = kept(mixed.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, place))").alias("compared")))
+    signed = mixed.join(compared, "id").join(heads.select("id", "bits", "roots"), "id")
+    roots = F.transform("roots", lambda root, place: F.when(F.getbit("compared", place) == 1, root))
+    full = kept(signed.withColumn("roots", roots).drop("compared"))
     others = full.filter("component <> major").select(
         "node", *[F.col(c).alias(f"hub_{c}") for c in ("id", "bits", "component", "roots")]
     )

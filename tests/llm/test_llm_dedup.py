@@ -7,6 +7,7 @@ import re
 
 import pytest
 from llm.llm_cases import frame, shingles, similar, smallest_reachable, texts, words
+from pyspark.sql import functions as F
 
 from clickfeat.llm import exact, near, paragraphs, similar as links
 
@@ -51,6 +52,23 @@ def test_large_nodes_of_unlike_documents(spark):
     assert got == {**{i: i for i in range(150)}, **{1000 + i: i for i in range(5)}}
 
 
+def test_pairs_that_part_below_a_large_node_meet_in_a_later_root(spark):
+    """All documents share their first root; below it every pair parts.  A family's pairs also share a small second root."""
+    family, others = range(20), range(100, 400)
+    heads = [(i, [1, 2 if i in family else 1000 + i], [0] * 8) for i in (*family, *others)]
+    heads = spark.createDataFrame(heads, "id long, roots array<long>, bits array<long>")
+    # Documents 2 k and 2 k + 1 have the same set; no others have anything in common.
+    sets = spark.createDataFrame([(i, bytes([i // 2 + 1] + [0] * 7)) for i in family], "id long, shingles binary")
+    unlike = heads.filter("id >= 100").select("id", F.expr("unhex(lpad(hex(id + 1000), 16, '0'))").alias("shingles"))
+
+    def split(mixed):
+        below = mixed.filter("n > 20").select(F.xxhash64("node", "id").alias("node"), F.lit(-1).alias("place"), "id")
+        return mixed.filter("n <= 20"), below
+
+    comp = links.linked_components(heads, lambda ids: sets.union(unlike).join(ids, "id"), 80, 100, split)
+    assert {r.id: r.component for r in comp.collect()} == {i: i // 2 * 2 for i in family}
+
+
 def test_near_groups_odd_rows(spark):
     got = near.near_groups(frame(spark)).collect()
     assert len(got) == len(texts())
