@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickfeat.functions.edges import CLICK_EDGES, DOWNLOAD_EDGES
+
 # Hours kept as validation and test hours.
 TEST_HOURS = (4, 5, 9, 10, 13, 14)
 # Hours with full row weight.
@@ -17,26 +19,14 @@ CLICK_MAX = 306_495
 DOWN_MAX = 174_330_052
 
 
-def rule_edges(first: int, step: int, even_to: int, top: int, count: int) -> list[float]:
-    """Bin edges by a rule: even steps up to ``even_to``, then growing ones up to ``top``, ``count`` in all.
-
-    The tail grows geometrically, each edge being at least one above the one before.
-    """
-    edges = list(range(first, even_to + 1, step))
-    while len(edges) < count:
-        left = count - len(edges)
-        edges.append(max(edges[-1] + 1, round(edges[-1] * (top / edges[-1]) ** (1 / left))))
-    return [float(e) for e in edges]
-
-
 def click_edges() -> list[float]:
-    """1,020 click bin edges over the whole range of totals; an exact list is a parameter of ``bin_edges``."""
-    return rule_edges(6, 18, 4740, 44_181_914, 1020)
+    """1,020 click bin edges; another list is a parameter of ``bin_edges``."""
+    return [float(e) for e in CLICK_EDGES]
 
 
 def download_edges() -> list[float]:
     """235 download bin edges."""
-    return rule_edges(1, 1, 150, DOWN_MAX, 235)
+    return [float(e) for e in DOWNLOAD_EDGES]
 
 
 def combo_key(*cols: str) -> Column:
