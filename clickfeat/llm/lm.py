@@ -7,8 +7,10 @@ probability is its frequency after its context, smoothed towards the probability
 (target loss - background loss), in nats: the lower, the more it reads like the target.  A target document is scored by
 target counts without its own, so that it cannot vouch for itself.
 
-Counts grow with the corpus in Spark, as sparse (order, slot, count) rows summed over all tasks.  Each order has a fixed
-number of slots (``BITS``), so the table that scoring broadcasts has a bound that no corpus can exceed.
+Counts are exact and stay in Spark: one row (n-gram, background count, target count) for each distinct n-gram, however
+many the corpus has.  Documents are dealt into blocks of about ``BLOCK`` characters.  A block's distinct n-grams, with
+their counts in it, are summed over all blocks and joined with the sums; a task holds one block and its n-grams only.
+``train`` and ``ngram_slots`` are the same models with hashed slots in memory (``BITS``), for small corpora.
 
 Defined cases: null or empty text has no tokens, n_tokens 0 and null losses; a document belongs to the target if any
 of its label rows has the target value; repeated rows count as often as they occur; without target rows the target
@@ -22,26 +24,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfeat.llm.common import slices, texts_of
+from clickfeat.llm.common import slices, stored, texts_of
 
 ORDER = 4
 BITS = (16, 18, 20, 20)  # slots of each order
 WEIGHT = 4.0
 PAD = ORDER - 1
+BLOCK = 4_000_000  # characters
+
+
+def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the documents, each after ``PAD`` boundary tokens; starts, lengths and boundary positions."""
+    codes = np.frombuffer("".join("\0" * PAD + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.fromiter((len(t) + PAD for t in texts), dtype=np.int64, count=len(texts))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    return codes, starts, lengths, (starts[:, None] + np.arange(PAD)).ravel()
 
 
 def ngram_slots(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Slots of the n-gram that ends at each position, per order; starts and lengths of the documents.
 
-    Each document follows ``PAD`` boundary tokens; n-grams that end in those stand for the boundary alone.
+    N-grams that end in boundary tokens stand for the boundary alone.
     """
-    codes = np.frombuffer("".join("\0" * PAD + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.fromiter((len(t) + PAD for t in texts), dtype=np.int64, count=len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    pads = (starts[:, None] + np.arange(PAD)).ravel()
+    codes, starts, lengths, pads = padded(texts)
     out = []
     value = np.zeros(len(codes), dtype=np.uint64)
     for order, bits in enumerate(BITS):
@@ -55,16 +65,43 @@ def ngram_slots(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return out, starts, lengths
 
 
+def ngram_ids(texts: list[str]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """As ``ngram_slots``, with dense numbers in place of slots, and the n-gram of each number, per order.
+
+    An n-gram is two integers (order and up to two code points, two code points); number 0 is the boundary.
+    """
+    codes, starts, lengths, pads = padded(texts)
+    first = pa.array(codes).dictionary_encode()
+    one, alphabet = first.indices.to_numpy().astype(np.int64), first.dictionary.to_numpy().astype(np.int64)
+    now, parts = one, [alphabet]
+    slots, grams = [], []
+    for order in range(ORDER):
+        if order:
+            joined = pa.array(np.concatenate([now[:1] * 0, now[:-1]]) * len(alphabet) + one).dictionary_encode()
+            now, pairs = joined.indices.to_numpy().astype(np.int64), joined.dictionary.to_numpy()
+            parts = [alphabet[pairs % len(alphabet)], *(p[pairs // len(alphabet)] for p in parts)]
+        none = np.zeros_like(parts[0])
+        last = [*parts, *[none] * PAD][:ORDER]
+        high, low = (order << 42) + (last[3] << 21) + last[2], (last[1] << 21) + last[0]
+        grams.append((np.concatenate([[-1 - order], high]), np.concatenate([[0], low])))
+        slot = (now + 1).astype(np.int32)
+        slot[pads] = 0
+        slots.append(slot)
+    return slots, grams, starts, lengths
+
+
 @dataclass
 class NgramModels:
-    """Counts per order for background (row 0) and target (row 1)."""
+    """Counts per order for background (row 0) and target (row 1), and the tokens of each if not all are in the counts."""
 
     counts: list[np.ndarray]
+    totals: tuple[int, int] | None = None
 
     def losses(self, model: int, slots: list[np.ndarray], own: list[np.ndarray] | None = None) -> np.ndarray:
         """Loss at each position; ``own`` are counts to leave out, per order and position."""
         p = np.float64(1.0) / (1 << BITS[0])
-        context = np.full(len(slots[0]), self.counts[0][model].sum(dtype=np.float64))
+        total = self.totals[model] if self.totals else self.counts[0][model].sum(dtype=np.float64)
+        context = np.full(len(slots[0]), float(total))
         if own is not None:
             context -= len(slots[0])
         for order, slot in enumerate(slots):
@@ -78,7 +115,11 @@ class NgramModels:
 
     def score(self, texts: list[str], target: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, mean target loss and mean background loss of each text."""
-        slots, starts, lengths = ngram_slots(texts)
+        return self.score_slots(*ngram_slots(texts), target)
+
+    def score_slots(
+        self, slots: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray, target: list[bool]
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scored = np.ones(len(slots[0]))
         scored[(starts[:, None] + np.arange(PAD)).ravel()] = 0.0
         sums = [np.add.reduceat(self.losses(m, slots) * scored, starts) for m in (0, 1)]
@@ -136,25 +177,93 @@ def train(rows: DataFrame) -> NgramModels:
     return NgramModels(tables)
 
 
-def score(rows: DataFrame, models: NgramModels) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for every row of (doc_id, text, target)."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """doc_id, text, target, block: neighbouring rows of about ``BLOCK`` characters, fixed by being stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for part in slices(batches):
+            blocks = []
+            for size in pc.utf8_length(part.column(1)).to_pylist():
+                if held and held + size + PAD > BLOCK:
+                    block, held = block + 1, 0
+                held += size + PAD
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(blocks, pa.int64())], ["doc_id", "text", "target", "block"])
+
+    return stored(rows.mapInArrow(run, "doc_id long, text string, target boolean, block long"), "blocks")
+
+
+def block_counts(rows: DataFrame) -> DataFrame:
+    """block, high, low, n, m: the distinct n-grams of each block, with background and target counts in it."""
+
+    def counted(block: int, texts: list[str], target: list[bool]) -> pa.RecordBatch:
+        slots, grams, _, lengths = ngram_ids(texts)
+        chosen = np.repeat(np.array(target, dtype=bool), lengths)
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for slot, (high, low) in zip(slots, grams, strict=True):
+            n = np.bincount(slot, minlength=len(high))
+            m = np.bincount(slot[chosen], minlength=len(high))
+            # N-grams that end in boundary tokens only are counted as boundaries.
+            at = np.flatnonzero(n)
+            for column, values in zip(columns, (high, low, n, m), strict=True):
+                column.append(values[at])
+        arrays = [pa.array(np.concatenate(c), pa.int64()) for c in columns]
+        same = pa.array(np.full(len(arrays[0]), block), pa.int64())
+        return pa.RecordBatch.from_arrays([same, *arrays], ["block", "high", "low", "n", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 128):
-            n, target, background = shared.value.score(part.column(1).to_pylist(), part.column(2).to_pylist())
-            none = n == 0
-            columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (target, background, target - background))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        now, texts, target = None, [], []
+        for part in slices(batches):
+            for text, yes, block in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if block != now and texts:
+                    yield counted(now, texts, target)
+                    texts, target = [], []
+                now = block
+                texts.append(text)
+                target.append(yes)
+        if texts:
+            yield counted(now, texts, target)
+
+    made = rows.select("text", "target", "block").mapInArrow(run, "block long, high long, low long, n long, m long")
+    return stored(made, "ngrams")
+
+
+def score(rows: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score for every row of (doc_id, text, target)."""
+    rows = in_blocks(rows)
+    grams = block_counts(rows)
+    sums = grams.groupBy("high", "low").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    found = grams.select("block", "high", "low").join(sums.hint("merge"), ["high", "low"])
+    tokens = grams.filter("high = -1 or (high >= 0 and shiftright(high, 42) = 0)").agg(F.sum("n"), F.sum("m")).first()
+    totals = (tokens[0] or 0, tokens[1] or 0)
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        slots, own, starts, lengths = ngram_ids(docs["text"].to_pylist())
+        counts = []
+        for high, low in own:
+            mine = pa.table({"high": high, "low": low, "at": np.arange(len(high))})
+            both = mine.join(known.select(["high", "low", "n", "m"]), ["high", "low"], join_type="inner")
+            table = np.zeros((2, len(high)))
+            for model, name in enumerate(("n", "m")):
+                table[model, both["at"].to_numpy()] = both[name].to_numpy()
+            counts.append(table)
+        models, target, out = NgramModels(counts, totals), docs["target"].to_pylist(), []
+        for i in range(0, len(starts), 128):
+            first, ends = starts[i], starts[i : i + 128] + lengths[i : i + 128]
+            some = [s[first : ends[-1]] for s in slots]
+            out.append(models.score_slots(some, starts[i : i + 128] - first, lengths[i : i + 128], target[i : i + 128]))
+        n, of_target, background = (np.concatenate(x) for x in zip(*out, strict=True))
+        losses = [pa.array(x, pa.float64(), mask=n == 0) for x in (of_target, background, of_target - background)]
+        names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+        return pa.Table.from_arrays([docs["doc_id"].combine_chunks(), pa.array(n, pa.int64()), *losses], names)
 
-    return rows.select("doc_id", "text", "target").mapInArrow(
-        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    )
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
 def cross_entropy_difference(
     docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", target: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Score all documents against the labelled target."""
-    rows = with_target(docs, labels, label_col, target, id_col, text_col)
-    return score(rows, train(rows))
+    return score(with_target(docs, labels, label_col, target, id_col, text_col))

@@ -145,6 +145,18 @@ def test_language_model_matches_dictionaries(spark, monkeypatch):
             assert (b, c) == pytest.approx(want[1:], abs=1e-6), i
 
 
+def test_language_model_counts_do_not_collide(spark, monkeypatch):
+    """More distinct characters and n-grams than hashed slots keep apart, over several blocks."""
+    monkeypatch.setattr(lm, "BLOCK", 5000, raising=False)
+    rng = random.Random(6)
+    rows = {i: ("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(300)) + words(rng, 20), i % 3 == 0) for i in range(60)}
+    labels = spark.createDataFrame([(i, int(t)) for i, (_, t) in rows.items()], "doc_id long, quality int")
+    docs = frame(spark, [(i, t) for i, (t, _) in rows.items()])
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(docs, labels).collect()}
+    for i, (n, a, b) in brute_losses(rows).items():
+        assert got[i].n_tokens == n and (got[i].target_loss, got[i].background_loss) == pytest.approx((a, b), abs=1e-9)
+
+
 def test_language_model_in_spark(spark):
     docs = frame(spark, [(i, ("alpha beta " if i % 2 else "gamma delta ") * 20) for i in range(40)] + [(50, None), (51, ""), (None, "x")])
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 0), (None, 1)], "doc_id long, quality int")
