@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickfeat.session import stored
@@ -13,7 +13,7 @@ from clickfeat.session import stored
 # Rows a Python task handles at once; texts of one slice are in memory together.
 SLICE_ROWS = 512
 
-__all__ = ["SLICE_ROWS", "kept", "slices", "stored", "texts_of"]
+__all__ = ["SLICE_ROWS", "kept", "shuffle_partitions", "slices", "stored", "texts_of"]
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,6 +31,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickfeat.llm import bpe, chat, exact, fingerprints, langid, lm, near, packing, paragraphs, pii
+from clickfeat.llm import (
+    bpe,
+    chat,
+    collocations,
+    exact,
+    fingerprints,
+    langid,
+    lm,
+    near,
+    negatives,
+    packing,
+    paragraphs,
+    pii,
+    quality,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +202,86 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~held_out(F.col("doc_id"))))
     found = langid.predict(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op11_tree_bounds",
+    """with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scores as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label,
+         cast(coalesce(list_sum([z[1] * z[2] for z in list_zip(a.v, b.v)]), 0) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, anchor_label, vec_id as positive_id, score as positive_score
+  from scores where label = anchor_label and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+         cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as int) as rank
+  from positives p join scores s on s.anchor_id = p.anchor_id and s.label <> p.anchor_label
+   and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 5""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0, label=label, id_col="vec_id")
+
+
+def held_out_fifth(doc_id: Column) -> Column:
+    """A fifth of the documents, by a checksum of the id as text; their labels are never used for learning."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query("op12_ftrl_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~held_out_fifth(F.col("doc_id"))), label=F.col("quality"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        held_out_fifth(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query(
+    "op13_suffix_quicksort",
+    """with words as (
+  select lang, row_number() over () as piece, [x for x in string_split_regex(p, '[\x20\x09]+') if x <> ''] as w
+  from (select coalesce(lang, 'und') as lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                   'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+        from documents)),
+places as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (select unnest(range(1, 6)) as k)),
+f as (select lang, k, w[i:i + k - 1] as s, count(*) as c from places group by all),
+totals as (select lang, cast(sum(c) as bigint) as n from f where k = 1 group by 1),
+candidates as (select * from f where k > 1 and c >= 100),
+inner_ones as (
+  select distinct x.lang, x.s from candidates x
+  join (select lang, c, s[j:j + m - 1] as part
+        from (select lang, c, s, m, unnest(range(1, k - m + 2)) as j
+              from (select lang, c, s, k, unnest(range(2, k)) as m from candidates))) y
+    on x.lang = y.lang and x.s = y.part and 100 * y.c >= 100 * x.c),
+cuts as (
+  select x.lang, x.s, x.c as a, j, l.c as l, r.c as r, n,
+         cast((cast(1000 as hugeint) * x.c * n) // (cast(l.c as hugeint) * r.c) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from candidates) x
+  join f l on l.lang = x.lang and l.s = x.s[1:j]
+  join f r on r.lang = x.lang and r.s = x.s[j + 1:x.k]
+  join totals on totals.lang = x.lang
+  where not exists (select 1 from inner_ones o where o.lang = x.lang and o.s = x.s)
+  qualify row_number() over (partition by x.lang, x.s order by score, j) = 1)
+select lang, rank, phrase, a, l, r, n, score
+from (select lang, array_to_string(s, ' ') as phrase, a, l, r, n, score,
+             cast(row_number() over (partition by lang order by score desc, a desc, array_to_string(s, ' ')) as bigint) as rank
+      from cuts)
+where rank <= 2000""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
