@@ -14,9 +14,8 @@ from clickfeat.functions.edges import CLICK_EDGES, DOWNLOAD_EDGES
 TEST_HOURS = (4, 5, 9, 10, 13, 14)
 # Hours with full row weight.
 WEIGHT_HOURS = (4, 5, 10, 13, 14)
-# Largest click and download totals, as scaled by log10.
+# Fixed value: largest click total, as scaled by log10.
 CLICK_MAX = 306_495
-DOWN_MAX = 174_330_052
 
 
 def click_edges() -> list[float]:

@@ -126,6 +126,54 @@ def test_isotonic(spark):
     np.testing.assert_allclose(got, pool_violators(x, y), atol=1e-9)
 
 
+def isotonic_values(x, y):
+    return dict(zip(x.tolist(), pool_violators(x, y).tolist()))
+
+
+@pytest.mark.parametrize("shape", ["noise", "falling", "rising", "late low block", "ties"])
+def test_isotonic_over_many_ranges(spark, shape):
+    """Ranges of 16 blocks: violations reach across many borders, or none does."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = np.arange(n) / n
+    y = {
+        "noise": (rng.random(n) < x).astype(float),
+        "falling": -x,
+        "rising": x,
+        "late low block": np.where(x < 0.9, x, -5.0),
+        "ties": np.floor(rng.random(n) * 3),
+    }[shape]
+    df = spark.createDataFrame(pd.DataFrame({"p": x, "y": y}))
+    fit = calibrate.fit_isotonic(df, "p", "y", range_blocks=16)
+    blocks = fit.blocks.orderBy("lo").toPandas()
+    assert blocks.n.sum() == n and (np.diff(blocks.fit) > 0).all() and (blocks.lo[1:].to_numpy() > blocks.hi[:-1].to_numpy()).all()
+    got = calibrate.apply_isotonic(fit, df, "p", "c").toPandas()
+    want = isotonic_values(x, y)
+    np.testing.assert_allclose(got.c, [want[v] for v in got.p], atol=1e-9)
+
+
+def test_isotonic_of_a_million_scores(spark):
+    df = spark.range(1_000_000).select((F.col("id") / 1e6).alias("p"), (F.crc32(F.col("id").cast("string").cast("binary")) % 1000 < F.col("id") / 1000).cast("int").alias("y"))
+    fit = calibrate.fit_isotonic(df, "p", "y", range_blocks=20_000)
+    assert fit.levels > 1
+    frame = df.toPandas()
+    want = pool_violators(frame.p.to_numpy(), frame.y.to_numpy().astype(float))
+    got = calibrate.apply_isotonic(fit, df, "p", "c").orderBy("p").toPandas()
+    np.testing.assert_allclose(got.c, want, atol=1e-9)
+
+
+def test_isotonic_between_and_beyond_scores(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (2.0, 1.0), (None, 1.0), (float("nan"), 1.0), (2.0, None)], "p double, y double")
+    fit = calibrate.fit_isotonic(df, "p", "y")
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate([0.5, 1.0, 1.25, 2.0, 3.0, None, float("nan")] * 30)], "i long, p double")
+    for outside, ends in (("clip", (0.0, 1.0)), ("zero", (0.0, 0.0))):
+        got = calibrate.apply_isotonic(fit, asked, "p", "c", outside=outside).orderBy("i").toPandas()
+        assert got.c.tolist() == [ends[0], 0.0, 0.25, 1.0, ends[1], 0.0, 0.0] * 30
+    empty = calibrate.fit_isotonic(df.limit(0), "p", "y")
+    assert calibrate.apply_isotonic(empty, asked, "p", "c").filter("c <> 0").isEmpty()
+    assert calibrate.apply_isotonic(fit, asked.limit(0), "p", "c").isEmpty()
+
+
 def test_stream_over_several_batches(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
