@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,19 @@ from pyspark.sql import functions as F
 from clickfeat.functions.encode import combo_key, entropy
 from clickfeat.operators.skew import attach_by_key
 from clickfeat.schema import LOOKUP_KEY_SETS, PROFILE_KEY_SETS
-from clickfeat.session import broadcast_rows
+from clickfeat.session import broadcast_rows, materialise
 
 HOUR_BUCKETS = [f"h6_{i}" for i in range(6)]
 QUARTER_BUCKETS = [f"q4_{i}" for i in range(4)]
 COUNTS = ["clk", "down", *HOUR_BUCKETS, *QUARTER_BUCKETS]
 STATS = ["clk", "down", "rate", "entropy_6", "entropy_4"]
 
+# Bytes that all broadcast tables of one lookup may take together, by their counted rows.
+BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES_CONF = "spark.clickfeat.broadcastBytes"
+# Bytes of a row of a hashed table besides its columns.
+ROW_BYTES = 64
+
 # Support limits of the fallback row and of the lookup.
 FALLBACK_MAX_CLICKS = 10_000
 FALLBACK_MID_RANGE = (5, 5_000)
@@ -39,6 +46,55 @@ def with_rates(df: DataFrame, legacy_entropy: bool = False) -> DataFrame:
     )
 
 
+def rollup_parents(
+    key_sets: Sequence[frozenset[str]], finest: frozenset[str], sizes: Mapping[frozenset[str], float]
+) -> dict[frozenset[str], frozenset[str]]:
+    """For every key set the smallest table it can be rolled up from: a key set that contains it, or the finest."""
+    parents = {}
+    for keys in key_sets:
+        wider = [other for other in (*key_sets, finest) if keys < other]
+        parents[keys] = min(wider, key=lambda o: (sizes[o], len(o), sorted(o))) if wider else finest
+    return parents
+
+
+def sketched_sizes(df: DataFrame, key_sets: Sequence[frozenset[str]]) -> dict[frozenset[str], float]:
+    """About how many keys each set has, from one pass over ``df`` with a sketch per set."""
+    row = df.agg(
+        *[
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*sorted(keys)), 14)).alias(f"k{i}")
+            for i, keys in enumerate(key_sets)
+        ]
+    ).first()
+    return {keys: float(row[f"k{i}"]) for i, keys in enumerate(key_sets)}
+
+
+def rollup_tables(clicks: DataFrame, key_sets: Sequence[Sequence[str]], time: str, label: str) -> dict[frozenset[str], DataFrame]:
+    """Counts per key of every set: a lattice in which a set is summed up from its smallest wider set.
+
+    Clicks are read once, into counts per combination of all columns.  All sets are lazy tables of one plan, in which
+    the exchange of a set that others are summed up from is made once and reused.
+    """
+    wanted = [frozenset(keys) for keys in key_sets]
+    finest_keys = frozenset(c for keys in wanted for c in keys) | {"hour"}
+    quarter, six = F.floor(F.minute(time) / 15), F.floor(F.col("hour") / 4)
+    finest = materialise(
+        clicks.groupBy(*sorted(finest_keys)).agg(
+            F.count(F.lit(1)).alias("clk"),
+            F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("down"),
+            *[F.sum((quarter == i).cast("long")).alias(c) for i, c in enumerate(QUARTER_BUCKETS)],
+        )
+    ).withColumns({c: F.when(six == i, F.col("clk")).otherwise(0) for i, c in enumerate(HOUR_BUCKETS)})
+    sizes = {**sketched_sizes(finest, wanted), finest_keys: float("inf")}
+    parents = rollup_parents(wanted, finest_keys, sizes)
+    tables = {finest_keys: finest}
+    # Wider sets first: a parent has more columns than its children.
+    for keys in sorted(wanted, key=lambda k: (-len(k), sorted(k))):
+        if keys in tables:
+            continue
+        tables[keys] = tables[parents[keys]].groupBy(*sorted(keys)).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return tables
+
+
 def profile_counts(
     clicks: DataFrame,
     key_sets: Sequence[Sequence[str]] = PROFILE_KEY_SETS,
@@ -46,41 +102,20 @@ def profile_counts(
     time: str = "click_time",
     label: str = "is_attributed",
 ) -> DataFrame:
-    """Clicks, downloads and time-of-day counts per key, for all key sets in one job.
-
-    Clicks are counted per combination of all key columns first, so that the
-    rows that get multiplied by the number of key sets are the combinations.
-    """
+    """Clicks, downloads and time-of-day counts per key, one row per key of every key set."""
     columns = sorted({c for keys in key_sets for c in keys})
-    quarter = F.floor(F.minute(time) / 15)
-    finest = clicks.groupBy(*columns, *([] if "hour" in columns else ["hour"])).agg(
-        F.count(F.lit(1)).alias("clk"),
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("down"),
-        *[F.sum((quarter == i).cast("long")).alias(c) for i, c in enumerate(QUARTER_BUCKETS)],
-    )
-    six = F.floor(F.col("__hour") / 4)
-    grouped = (
-        finest.withColumn("__hour", F.col("hour"))
-        .groupingSets([list(keys) for keys in key_sets], *columns)
-        .agg(
-            F.grouping_id().alias("__gid"),
-            F.sum("clk").alias("clk"),
-            F.sum("down").alias("down"),
-            *[
-                F.sum(F.when(six == i, F.col("clk")).otherwise(0)).alias(c)
-                for i, c in enumerate(HOUR_BUCKETS)
-            ],
-            *[F.sum(c).alias(c) for c in QUARTER_BUCKETS],
+    tables = rollup_tables(clicks, key_sets, time, label)
+    types = dict(clicks.select(*columns).dtypes)
+    parts = [
+        tables[frozenset(keys)].select(
+            F.lit(set_name(keys)).alias("key_set"),
+            combo_key(*keys).alias("key"),
+            *[(F.col(c) if c in keys else F.lit(None).cast(types[c])).alias(c) for c in columns],
+            *[F.col(c).cast("long").alias(c) for c in COUNTS],
         )
-    )
-    name, key = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for keys in key_sets:
-        gid = sum(0 if c in keys else 1 << (len(columns) - 1 - i) for i, c in enumerate(columns))
-        name = F.when(F.col("__gid") == gid, F.lit(set_name(keys))).otherwise(name)
-        key = F.when(F.col("__gid") == gid, combo_key(*keys)).otherwise(key)
-    return grouped.select(
-        name.alias("key_set"), key.alias("key"), *columns, *[F.col(c).cast("long") for c in COUNTS]
-    )
+        for keys in key_sets
+    ]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def profiles(clicks: DataFrame, key_sets: Sequence[Sequence[str]] = PROFILE_KEY_SETS, **options) -> DataFrame:
@@ -152,6 +187,17 @@ def merge_rate(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def sets_to_broadcast(sizes: Mapping[str, int], widths: Mapping[str, int], rows: int, budget: int) -> set[str]:
+    """Key sets whose tables fit the budget together, smallest first, none of more than ``rows`` rows."""
+    chosen, held = set(), 0
+    for name in sorted(widths, key=lambda k: (sizes.get(k, 0) * widths[k], k)):
+        held += sizes.get(name, 0) * widths[name]
+        if held > budget or sizes.get(name, 0) > rows:
+            break
+        chosen.add(name)
+    return chosen
+
+
 def lookup(
     df: DataFrame,
     profile: DataFrame,
@@ -166,21 +212,24 @@ def lookup(
 
     A key that is missing, or has fewer than ``min_clicks`` clicks, gets the
     key set's ``mean`` row, or null without one.  ``profile`` should be a stored
-    table: it is read once per key set.  Key sets of few keys are broadcast by
-    their counted size, the others joined with salts for hot keys.
+    table: it is read once per key set.  The smallest key sets are broadcast, as
+    many as fit one budget of bytes together (``spark.clickfeat.broadcastBytes``);
+    the others are joined with salts for hot keys.
     """
     usable = profile if min_clicks is None else profile.filter(F.col("clk") >= min_clicks)
     # One row per key set.
     sizes = {r["key_set"]: r["n"] for r in usable.groupBy("key_set").agg(F.count(F.lit(1)).alias("n")).collect()}
     means = {r["key_set"]: r for r in mean.collect()} if mean is not None else {}
-    most = broadcast_rows(df.sparkSession)
+    budget = int(df.sparkSession.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES)))
+    widths = {set_name(keys): ROW_BYTES + 8 * (len(keys) + len(fields)) for keys in key_sets}
+    small = sets_to_broadcast(sizes, widths, broadcast_rows(df.sparkSession), budget)
     out = df
     for i, keys in enumerate(key_sets, start=1):
         name = set_name(keys)
         table = usable.filter(F.col("key_set") == name).select(
             *keys, *[F.col(f).cast("double").alias(f"{p}{i}") for f, p in fields.items()]
         )
-        if sizes.get(name, 0) <= most:
+        if name in small:
             out = out.join(F.broadcast(table), list(keys), "left")
         else:
             # The rows to look up are counted on their own: a key can be hot in

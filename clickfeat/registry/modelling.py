@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickfeat.functions import blend
 from clickfeat.functions.encode import row_weight
 from clickfeat.functions.tokens import hash_tokens, named
-from clickfeat.learning import calibrate, learners, tune
+from clickfeat.learning import calibrate, learners, stages, tune
 from clickfeat.operators import match, score, split
 from clickfeat.operators.describe import feature_union, top_by_correlation
 from clickfeat.plans.build import add_features
@@ -400,13 +402,11 @@ def category_table(clicks: DataFrame) -> DataFrame:
     )
 
 
-_fit_and_score("gbt", {"maxIter": 5, "maxDepth": 3})
 _fit_and_score("lr", {"maxIter": 10}, category_table)
 _fit_and_score("lasso", {"regParam": 0.001, "maxIter": 10})
 _fit_and_score("ridge", {"regParam": 0.1, "maxIter": 10})
 _fit_and_score("linear_sv", {"maxIter": 5, "regParam": 0.01})
 _fit_and_score("rf", {"numTrees": 5, "maxDepth": 4})
-_fit_and_score("extra_trees", {"numTrees": 5, "maxDepth": 4})
 _fit_and_score("gbm", {"maxIter": 5, "maxDepth": 3})
 _fit_and_score("mlp", {"layers": [len(NUMBERS), 8, 2], "maxIter": 10, "seed": 1})
 
@@ -430,12 +430,117 @@ def learn_random_ridge(clicks: DataFrame) -> DataFrame:
     return learners.score_ridges(fits, table).select("row_id", "label", "score")
 
 
+# Scores of a fit hang on the fit; that every row has one between 0 and 1, and that they rank better than chance, does not.
+def _sound_sql(bound: float) -> str:
+    return f"select count(*) as n, true as in_range, true as auc_above_{str(bound).replace('.', '_')} from clicks"
+
+
+def _sound(scored: DataFrame, bound: float) -> DataFrame:
+    """One row: rows, whether all scores lie between 0 and 1, whether the AUC passes the bound."""
+    auc = score.auc_exact(scored, "score", "label").select((F.col("auc") > bound).alias(f"auc_above_{str(bound).replace('.', '_')}"))
+    checked = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.coalesce(F.col("score").between(0, 1), F.lit(False))), F.lit(True)).alias("in_range")
+    )
+    return checked.join(F.broadcast(auc))
+
+
+@clicks_query("learn_gbt")
+def learn_gbt(clicks: DataFrame) -> DataFrame:
+    """Boosted trees with a class weight that stop early on the last fold."""
+    table = training_table(clicks).withColumn("weight", learners.balance_weight(positive=3.0)).withColumn("valid", F.col("fold") == 2)
+    model = learners.fit_boosted(table, "valid", {"maxIter": 20, "maxDepth": 3})
+    return learners.score(model, table).select("row_id", "label", "score")
+
+
+def staged_fit(clicks: DataFrame) -> tuple[DataFrame, DataFrame, stages.StagedModel]:
+    """Boosting continued over four runs of rows, ended early on the two runs after them."""
+    table = stages.with_step(training_table(clicks), "row_id", 6)
+    chunks = [table.filter(F.col("step") == i) for i in range(4)]
+    holdout = table.filter(F.col("step") > 3)
+    return table, holdout, stages.fit_staged(chunks, {"maxIter": 3, "maxDepth": 3}, holdout=holdout)
+
+
 @clicks_query("learn_gbt_chunked")
 def learn_gbt_chunked(clicks: DataFrame) -> DataFrame:
-    """One distributed fit over all chunks, stopping early on the last fold."""
-    table = training_table(clicks).withColumn("valid", F.col("fold") == 2)
-    model = learners.fit_boosted(table, "valid", {"maxIter": 8, "maxDepth": 3})
-    return learners.score(model, table).select("row_id", "label", "score")
+    table, _, model = staged_fit(clicks)
+    return model.score(table).select("row_id", "label", "score")
+
+
+@clicks_query("learn_gbt_chunked_sound", "select count(*) as n, true as in_range, true as loss_within_prior from clicks")
+def learn_gbt_chunked_sound(clicks: DataFrame) -> DataFrame:
+    """All scores lie between 0 and 1, and the stages kept leave the holdout no loss above the prior's."""
+    table, holdout, model = staged_fit(clicks)
+    fits = stages.log_loss(model.add_margin(holdout)) <= stages.log_loss(model.add_margin(holdout, stages=0))
+    return model.score(table).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("in_range"),
+        F.lit(fits).alias("loss_within_prior"),
+    )
+
+
+def random_tree_scores(clicks: DataFrame) -> DataFrame:
+    table = training_table(clicks)
+    model = stages.fit_random_trees(table.filter("fold <> 2"), len(NUMBERS), {"numTrees": 5, "maxDepth": 5}, groups=3)
+    return model.score(table).select("row_id", "label", "score")
+
+
+clicks_query("learn_extra_trees")(random_tree_scores)
+
+
+@clicks_query("learn_extra_trees_sound", _sound_sql(0.5))
+def learn_extra_trees_sound(clicks: DataFrame) -> DataFrame:
+    return _sound(random_tree_scores(clicks), 0.5)
+
+
+CHUNK_ROWS = 50
+STEPS = 4
+
+
+def progressive(clicks: DataFrame) -> DataFrame:
+    table = with_chunk(training_table(clicks), CHUNK_ROWS, "row_id")
+    return stages.progressive_scores(stored(table, "progressive"), learners.get_learner("lr"), {"maxIter": 10}, steps=STEPS)
+
+
+@clicks_query(
+    "progressive_steps",
+    f"""select row_id, chunk_id, step, last as fitted_to, step > 0 as scored from (
+          select *, lag(top) over (order by step) as last from (
+            select step, max(chunk_id) as top from c group by step)) join c using (step)""",
+    f"""c as (select row_id, row_id // {CHUNK_ROWS} as chunk_id,
+               cast(floor((row_id // {CHUNK_ROWS}) * {STEPS} / (max(row_id // {CHUNK_ROWS}) over () + 1)) as int) as step from clicks)""",
+)
+def progressive_steps(clicks: DataFrame) -> DataFrame:
+    """The model that scores a chunk saw chunks before it only."""
+    return progressive(clicks).select("row_id", "chunk_id", "step", "fitted_to", F.col("score").isNotNull().alias("scored"))
+
+
+@clicks_query("progressive_auc")
+def progressive_auc(clicks: DataFrame) -> DataFrame:
+    """AUC of every run of chunks under the model of the runs before it."""
+    return score.auc_exact(progressive(clicks).filter("score is not null"), "score", "label", ["step"]).select("step", "auc")
+
+
+STACKED = {
+    "s_lr": ("lr", {"maxIter": 10}),
+    "s_ridge": ("ridge", {"regParam": 0.1}),
+    "s_rf": ("rf", {"numTrees": 5, "maxDepth": 4}),
+}
+
+
+@clicks_query(
+    "stack_folds",
+    """select row_id, cast(ntile(3) over (order by row_id) - 1 as int) as fold, is_attributed::double as label,
+              true as out_of_fold, true as stacked from clicks""",
+)
+def stack_folds(clicks: DataFrame) -> DataFrame:
+    """Three learners' out-of-fold columns and a perceptron on them; every value comes from fits that did not see its row."""
+    base = {name: (learners.get_learner(kind), params) for name, (kind, params) in STACKED.items()}
+    second = (learners.get_learner("mlp"), {"layers": [len(base), 4, 2], "maxIter": 20, "seed": 1})
+    out = stages.stack(training_table(clicks), base, second, k=3)
+    values = [F.col(c).isNotNull() for c in (*base, "score")]
+    return out.select(
+        "row_id", "fold", "label", (F.col("left_out") == F.col("fold")).alias("out_of_fold"), reduce(lambda a, b: a & b, values).alias("stacked")
+    )
 
 
 @clicks_query("learner_registry")

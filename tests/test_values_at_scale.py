@@ -8,7 +8,7 @@ from conftest import DATA
 
 from clickfeat.functions import encode
 from clickfeat.learning import calibrate, learners, tune
-from clickfeat.operators import score, skew, split
+from clickfeat.operators import profiles, score, skew, split
 from clickfeat.plans.build import add_features
 from clickfeat.plans.specs import FeatureSpec
 from clickfeat.sources.writers import cached_feature, input_files
@@ -141,3 +141,33 @@ def test_cached_feature_follows_its_input(spark, tmp_path):
     spark.range(3).write.mode("append").parquet(source)
     assert run() == 8 and len(calls) == 2
     assert len(input_files(spark.read.parquet(f"{DATA}/events.parquet"))) == 1
+
+
+def test_profiles_roll_up_from_the_smallest_wider_set(spark):
+    sets = [frozenset("a"), frozenset("ab"), frozenset("ac"), frozenset("abc"), frozenset("d")]
+    finest = frozenset("abcd")
+    sizes = dict(zip([*sets, finest], [3, 50, 9, 90, 4, float("inf")]))
+    parents = profiles.rollup_parents(sets, finest, sizes)
+    assert parents == {sets[0]: sets[2], sets[1]: sets[3], sets[2]: sets[3], sets[3]: finest, sets[4]: finest}
+
+
+def test_profiles_do_not_multiply_the_finest_rows(spark, clicks):
+    plan = profiles.profile_counts(clicks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Generate" not in plan
+
+
+def test_lookup_broadcasts_share_one_budget(spark, clicks):
+    sizes, widths = {"a": 10, "b": 1000, "c": 100, "d": 5}, dict.fromkeys("abcd", 100)
+    assert profiles.sets_to_broadcast(sizes, widths, 500, 20_000) == set("acd")
+    assert profiles.sets_to_broadcast(sizes, widths, 5000, 12_000) == set("acd")
+    assert profiles.sets_to_broadcast(sizes, widths, 5000, 1_600) == set("ad")
+    profile = profiles.profiles(clicks, [("app",), ("ip",), ("ip", "app")])
+    options = {"key_sets": [("app",), ("ip",), ("ip", "app")]}
+    rows = profiles.lookup(clicks, profile, {"clk": "c"}, **options)
+    want = sorted(map(tuple, rows.select("row_id", "c1", "c2", "c3").collect()))
+    spark.conf.set(profiles.BROADCAST_BYTES_CONF, "2000")
+    try:
+        low = profiles.lookup(clicks, profile, {"clk": "c"}, **options)
+        assert sorted(map(tuple, low.select("row_id", "c1", "c2", "c3").collect())) == want
+    finally:
+        spark.conf.unset(profiles.BROADCAST_BYTES_CONF)
