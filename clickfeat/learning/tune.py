@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clickfeat.learning.learners import LABEL, SCORE, Learner, assemble, score
 from clickfeat.operators.score import auc_exact
+from clickfeat.operators.skew import HASH_BITS, seeded_hash
 from clickfeat.operators.split import sample_exact, split_random
 from clickfeat.session import stored
 
@@ -91,6 +92,46 @@ def tune(
     return trials_table.orderBy(F.col("loss").asc_nulls_last(), "trial")
 
 
+def nested_sample(df: DataFrame, share: float, seed: int, row: str = "row_id") -> DataFrame:
+    """About ``share`` of the rows, by hash: a larger share of the same seed holds every smaller one."""
+    return df if share >= 1 else df.filter(seeded_hash(seed, F.col(row)) < int(share * (1 << HASH_BITS)))
+
+
+def tune_halving(
+    df: DataFrame, learner: Learner, *, trials: int = 8, first_share: float = 0.125, seed: int = 0, fixed: Mapping | None = None, row: str = "row_id"
+) -> DataFrame:
+    """Search by successive halving: all trials on a small sample, the better half on twice the rows, and so on.
+
+    The holdout is the same in every round, so losses of a round compare; samples are nested.  Returns a row per trial and
+    round: round, trial, params, rows (fitted on), loss, survived.  It ends with one trial or with all rows.
+    """
+    parts = stored(split_random(df, ratio=0.2, seed=seed + 1, row=row), "halving")
+    train, valid = parts.filter("split = 'train'"), parts.filter("split = 'valid'")
+    alive = dict(enumerate(draw_params(learner.space, trials, seed)))
+    share, turn, log = first_share, 0, []
+    while alive:
+        sample = stored(nested_sample(train, share, seed, row), "halving-sample")
+        rows = sample.count()
+        losses = {}
+        for trial, params in alive.items():
+            loss = 1.0 - auc_of(score(learner.fit(sample, {**params, **(fixed or {})}), valid))
+            losses[trial] = math.inf if math.isnan(loss) else loss
+        ranked = sorted(alive, key=lambda t: (losses[t], t))
+        last = len(alive) == 1 or share >= 1
+        better = ranked[:1] if last else ranked[: math.ceil(len(ranked) / 2)]
+        log += [
+            (turn, t, str(sorted(alive[t].items())), rows, None if math.isinf(losses[t]) else losses[t], t in better)
+            for t in sorted(alive)
+        ]
+        if last:
+            break
+        alive = {t: alive[t] for t in sorted(better)}
+        share, turn = min(1.0, 2 * share), turn + 1
+    return df.sparkSession.createDataFrame(
+        log, "round int, trial int, params string, rows long, loss double, survived boolean"
+    )
+
+
 def best_trial(trials: DataFrame) -> DataFrame:
     """The trial of least loss; the earliest of equals."""
     return trials.orderBy(F.col("loss").asc_nulls_last(), "trial").limit(1)

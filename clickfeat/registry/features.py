@@ -20,7 +20,7 @@ from clickfeat.registry.base import clicks_query, predictions, query, rounded
 from clickfeat.registry.files import MAPPING_SQL, match_inputs
 from clickfeat.schema import LOOKUP_KEY_SETS, PROFILE_KEY_SETS
 from clickfeat.session import new_folder
-from clickfeat.sources.readers import read_clicks
+from clickfeat.sources.readers import read_clicks, with_file_positions
 
 
 def spec_sql(spec: FeatureSpec) -> str:
@@ -526,3 +526,16 @@ def shift_rows(clicks: DataFrame) -> DataFrame:
 def row_index_query(spark: SparkSession, folder: str) -> DataFrame:
     orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderdate")
     return row_index(orders, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_id")
+
+
+@query(
+    "row_index_files",
+    "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as row_id from orders",
+)
+def row_index_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions in a table of several files that is in order already."""
+    path = new_folder(spark, "ordered")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderdate")
+    order = ["o_orderdate", "o_orderkey"]
+    orders.repartitionByRange(6, *order).sortWithinPartitions(*order).write.parquet(path)
+    return with_file_positions(spark.read.parquet(path)).select("o_orderkey", "row_id")

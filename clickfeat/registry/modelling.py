@@ -590,6 +590,26 @@ def tune_query(clicks: DataFrame) -> DataFrame:
     )
 
 
+@clicks_query(
+    "tune_halving",
+    f"""select cast(k as int) as round, cast(8 >> k as int) as trials, 8 >> (k + 1) as better,
+               (select count(*) from t where {_hash_sql(0)} < (1::bigint << 60) // (8 >> k)
+                  and row_id in (select row_id from v)) as rows
+        from range(3) g(k)""",
+    f"""v as (select row_id from (select row_id, row_number() over (order by {_hash_sql(1)}, row_id) as i, count(*) over () as n from clicks)
+               where i > ceil(n * 0.2))""",
+)
+def tune_halving(clicks: DataFrame) -> DataFrame:
+    """Rounds of a search over eight trials: trials, those that go on, and rows of the nested samples."""
+    log = tune.tune_halving(training_table(clicks), learners.get_learner("lr"), trials=8, fixed={"maxIter": 5})
+    rounds = log.groupBy("round").agg(
+        F.count(F.lit(1)).cast("int").alias("trials"),
+        F.sum(F.col("survived").cast("int")).cast("int").alias("better"),
+        F.max("rows").alias("rows"),
+    )
+    return rounds.filter(F.col("round") < 3)
+
+
 @clicks_query("select_features")
 def select_features(clicks: DataFrame) -> DataFrame:
     features = add_features(clicks, pick("ip_app_co", "ip_cu_c", "app_chl_co"))

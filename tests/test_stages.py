@@ -90,3 +90,27 @@ def test_random_trees_split_at_random_thresholds(rows):
     # Values between two neighbouring thresholds cannot be told apart.
     steps = stages.discretise(test, one.thresholds[0]).select("__steps").distinct().count()
     assert steps <= 9**3
+
+
+def test_halving_keeps_the_better_half_on_twice_the_rows(rows):
+    log = tune.tune_halving(rows, learners.get_learner("lr"), trials=6, fixed={"maxIter": 3}).toPandas()
+    sizes = log.groupby("round").agg(trials=("trial", "size"), kept=("survived", "sum"), rows=("rows", "max"))
+    assert sizes.trials.tolist() == [6, 3, 2, 1] and sizes.kept.tolist() == [3, 2, 1, 1]
+    assert all(1.6 < b / a < 2.5 for a, b in zip(sizes.rows, sizes.rows[1:]))
+    for turn in range(3):
+        now, then = log[log["round"] == turn], log[log["round"] == turn + 1]
+        assert set(then.trial) == set(now[now.survived].trial)
+        assert now[now.survived].loss.max() <= now[~now.survived].loss.min()
+    small = {r.row_id for r in tune.nested_sample(rows, 0.1, 5).collect()}
+    assert small < {r.row_id for r in tune.nested_sample(rows, 0.2, 5).collect()}
+
+
+def test_positions_follow_the_files(spark, tmp_path):
+    from clickfeat.sources.readers import with_file_positions
+
+    path = str(tmp_path / "files")
+    spark.range(1000).repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(path)
+    placed = with_file_positions(spark.read.parquet(path))
+    assert placed.columns == ["id", "row_id"] and placed.filter("id <> row_id").isEmpty() and placed.count() == 1000
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Repartition" not in plan
