@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickfeat.functions.timeparts import epoch_seconds, gap_seconds
-from clickfeat.operators.skew import neighbours
+from clickfeat.operators.skew import neighbours, sliced_neighbours
 
 # Fixed value: the far-future epoch second used when there is no next click.
 NO_NEXT_CLICK = 3_000_000_000
@@ -18,6 +18,39 @@ def gap_name(keys: Sequence[str], suffix: str) -> str:
     return f"{'_'.join(keys)}_{suffix}"
 
 
+def sequence_columns(names: Mapping[str, str | None], now: Column, wrap_day: bool, place: str = "") -> dict[str, Column]:
+    """Columns by name from the neighbours of key set ``place``."""
+    before, behind = F.col(f"__prev{place}"), F.col(f"__next{place}")
+    made = {
+        "next_name": gap_seconds(behind, now, wrap_day),
+        "prev_name": gap_seconds(now, before, wrap_day),
+        "next_epoch_name": F.coalesce(behind, F.lit(NO_NEXT_CLICK)) - now,
+        "cumcount_name": F.col(f"__pos{place}"),
+    }
+    return {name: made[kind] for kind, name in names.items() if name}
+
+
+def add_sliced_sequences(
+    df: DataFrame,
+    wanted: Sequence[tuple[Sequence[str], Mapping[str, str]]],
+    *,
+    time: str = "click_time",
+    row: str = "row_id",
+    wrap_day: bool = True,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Sequence columns of many key sets from one pass over the clicks in row-number ranges.
+
+    ``wanted`` has key sets with the arguments of ``add_sequence`` that name their columns.
+    """
+    now = epoch_seconds(time)
+    near = sliced_neighbours(df, [keys for keys, _ in wanted], now, row=row, source=source)
+    added: dict[str, Column] = {}
+    for i, (_, names) in enumerate(wanted):
+        added |= sequence_columns(names, now, wrap_day, str(i))
+    return near.select(*df.columns, *[c.alias(name) for name, c in added.items()])
+
+
 def add_sequence(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,15 +71,8 @@ def add_sequence(
     timed = next_name or prev_name or next_epoch_name
     now = epoch_seconds(time) if timed else F.lit(0)
     near = neighbours(df, keys, now, row=row, limit=limit, skewed=skewed, source=source)
-    added = {}
-    if next_name:
-        added[next_name] = gap_seconds(F.col("__next"), now, wrap_day)
-    if prev_name:
-        added[prev_name] = gap_seconds(now, F.col("__prev"), wrap_day)
-    if next_epoch_name:
-        added[next_epoch_name] = F.coalesce(F.col("__next"), F.lit(NO_NEXT_CLICK)) - now
-    if cumcount_name:
-        added[cumcount_name] = F.col("__pos")
+    names = {"next_name": next_name, "prev_name": prev_name, "next_epoch_name": next_epoch_name, "cumcount_name": cumcount_name}
+    added = sequence_columns(names, now, wrap_day)
     return near.select(*df.columns, *[c.alias(name) for name, c in added.items()])
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickfeat.session import hot_rows, materialise, slice_rows
+from clickfeat.session import broadcast_rows, hot_rows, materialise, slice_rows
 
 # Rows are spread over this many equal ranges of a 64-bit hash when an exact
 # rank in hash order is needed.  It bounds the offset table (rows per group).
@@ -178,6 +179,67 @@ def neighbours(
     )
 
 
+def sliced_neighbours(
+    df: DataFrame, key_sets: Sequence[Sequence[str]], value: Column, *, row: str = "row_id", source: DataFrame | None = None
+) -> DataFrame:
+    """``neighbours`` for many key sets of few and large keys: adds ``__prev<i>``, ``__next<i>``, ``__pos<i>`` for set i.
+
+    Rows are dealt by row-number range once, whatever the keys; the windows of every set run inside a range and need no
+    further exchange.  What lies before and after a range comes from a summary of one row per (set, key, range), made
+    from the narrow ``source`` in the same way and put in order by one exchange for all sets.
+    """
+    source = df if source is None else source
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (source.agg(F.max(row)).first()[0] or 0) + 1
+    width = max(1, min(slice_rows(spark), -(-rows // (2 * parts))))
+    boxed = F.struct(value.alias("x"))
+    place = F.floor(F.col(row) / F.lit(width)).cast("long")
+    columns = sorted({c for keys in key_sets for c in keys})
+    narrow = source.select(row, *columns, place.alias("__slice"), boxed.alias("__v")).repartition("__slice")
+    types = dict(source.select(*columns).dtypes)
+    summaries = [
+        narrow.groupBy("__slice", *keys)
+        .agg(F.min_by("__v", row).alias("__first"), F.max_by("__v", row).alias("__last"), F.count(F.lit(1)).alias("__n"))
+        .select(
+            F.lit(i).alias("__set"),
+            *[(F.col(c) if c in keys else F.lit(None).cast(types[c])).alias(c) for c in columns],
+            "__slice", "__first", "__last", "__n",
+        )
+        for i, keys in enumerate(key_sets)
+    ]
+    across = Window.partitionBy("__set", *columns).orderBy("__slice")
+    edges = materialise(
+        reduce(DataFrame.unionAll, summaries).select(
+            "__set", *columns, "__slice",
+            F.lag("__last").over(across).alias("__before"),
+            F.lead("__first").over(across).alias("__behind"),
+            F.sum("__n").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("__offset"),
+        )
+    )
+    # One row per set.
+    sizes = {r["__set"]: r["count"] for r in edges.groupBy("__set").count().collect()}
+    out = df.withColumns({"__slice": place, "__v": boxed}).repartition("__slice")
+    for i, keys in enumerate(key_sets):
+        w = Window.partitionBy("__slice", *keys).orderBy(row)
+        out = out.withColumns(
+            {f"__prev{i}": F.lag("__v").over(w), f"__next{i}": F.lead("__v").over(w), f"__pos{i}": F.row_number().over(w) - 1}
+        )
+    # All sets of which the summaries are small together go by broadcast; the others by key and range.
+    held, most = 0, broadcast_rows(spark)
+    for i in sorted(range(len(key_sets)), key=lambda i: (sizes.get(i, 0), i)):
+        held += sizes.get(i, 0)
+        own = edges.filter(F.col("__set") == i).select(*key_sets[i], "__slice", "__before", "__behind", "__offset")
+        out = out.join(F.broadcast(own) if held <= most else own, [*key_sets[i], "__slice"], "left").withColumns(
+            {
+                f"__prev{i}": F.coalesce(f"__prev{i}", "__before").getField("x"),
+                f"__next{i}": F.coalesce(f"__next{i}", "__behind").getField("x"),
+                f"__pos{i}": (F.col(f"__pos{i}") + F.coalesce("__offset", F.lit(0))).cast("long"),
+            }
+        ).drop("__before", "__behind", "__offset")
+    return out.select(*df.columns, *[f"{p}{i}" for i in range(len(key_sets)) for p in ("__prev", "__next", "__pos")])
+
+
 def seeded_hash(seed: int, col: Column) -> Column:
     """Non-negative 60-bit number from the MD5 of ``seed|value``: any SQL engine can repeat the order it gives."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), col.cast("string")).cast("binary"))

@@ -9,7 +9,8 @@ back with salts, and sequences run over row-number slices.
 
 Key sets without the anchor have few keys and huge groups: they are aggregated
 (map-side first) and joined back, which adaptive execution turns into broadcast
-joins when the group table is small, and their sequences run over slices.
+joins when the group table is small, and their sequences share one exchange by
+row-number range.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from clickfeat.functions.timeparts import epoch_seconds, gap_seconds
 from clickfeat.operators.aggregate import corrected_skewness, weighted_measure
-from clickfeat.operators.sequence import NO_NEXT_CLICK, add_sequence
+from clickfeat.operators.sequence import NO_NEXT_CLICK, add_sequence, add_sliced_sequences
 from clickfeat.operators.skew import attach_by_key, is_skewed, key_counts
 from clickfeat.plans.specs import SEQUENCE_KINDS, FeatureSpec
 from clickfeat.session import broadcast_rows, hot_rows, materialise
@@ -164,25 +165,13 @@ def add_group_tables(
     return out
 
 
-def _skewed_sets(
-    df: DataFrame, base: DataFrame | None, key_sets: Iterable[tuple[str, ...]], limit: int
-) -> dict[tuple[str, ...], bool]:
-    """Which key sets have a hot key; a set is fine if part of it already is."""
-    found: dict[tuple[str, ...], bool] = {}
-    for keys in sorted(key_sets, key=len):
-        if any(not hot and set(part) <= set(keys) for part, hot in found.items()):
-            found[keys] = False
-        elif base is not None and set(keys) <= set(base.columns):
-            found[keys] = is_skewed(base, keys, limit, weight="__w")
-        else:
-            found[keys] = is_skewed(df, keys, limit)
-    return found
-
-
 def add_joined(
-    df: DataFrame, specs: Sequence[FeatureSpec], time: str, row: str, wrap_day: bool, limit: int, skewed: bool | None
+    df: DataFrame, specs: Sequence[FeatureSpec], time: str, row: str, wrap_day: bool, limit: int, skewed: bool
 ) -> DataFrame:
-    """Sequences per key set, in slices where keys are hot, then aggregates from group tables."""
+    """Sequences, then aggregates from group tables.
+
+    Key sets of few keys share one pass over row-number ranges; ``skewed`` ones (of hot anchors) are sliced one by one.
+    """
     sequences: dict[tuple[str, ...], dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
     argument = {"next": "next_name", "prev": "prev_name", "next_epoch": "next_epoch_name", "cumcount": "cumcount_name"}
     aggregates = [s for s in specs if s.kind not in SEQUENCE_KINDS]
@@ -190,25 +179,24 @@ def add_joined(
         if spec.kind in SEQUENCE_KINDS:
             sequences[tuple(sorted(spec.keys))][argument[spec.kind]].append(spec.name)
     base = combination_counts(df, aggregates) if aggregates else None
-    hot = (
-        _skewed_sets(df, base, sequences, limit)
-        if skewed is None
-        else {keys: skewed for keys in sequences}
-    )
     out = df
     # Counts and slice summaries come from the narrow input, not from the widened result.
+    if sequences and not skewed:
+        wanted = [(keys, {arg: same[0] for arg, same in names.items()}) for keys, names in sequences.items()]
+        out = add_sliced_sequences(out, wanted, time=time, row=row, wrap_day=wrap_day, source=df)
     for keys, names in sequences.items():
-        out = add_sequence(
-            out,
-            keys,
-            **{arg: same[0] for arg, same in names.items()},
-            time=time,
-            row=row,
-            wrap_day=wrap_day,
-            limit=limit,
-            skewed=hot[keys],
-            source=df,
-        )
+        if skewed:
+            out = add_sequence(
+                out,
+                keys,
+                **{arg: same[0] for arg, same in names.items()},
+                time=time,
+                row=row,
+                wrap_day=wrap_day,
+                limit=limit,
+                skewed=True,
+                source=df,
+            )
         copies = {twin: F.col(same[0]) for same in names.values() for twin in same[1:]}
         out = out.withColumns(copies) if copies else out
     return add_group_tables(out, base, aggregates, limit) if aggregates else out
@@ -232,7 +220,7 @@ def add_features(
         raise ValueError(f"feature names taken: {sorted(doubled)}")
     anchored = [s for s in specs if anchor in s.keys]
     others = [s for s in specs if anchor not in s.keys]
-    out = add_joined(df, others, time, row, wrap_day, limit, None) if others else df
+    out = add_joined(df, others, time, row, wrap_day, limit, False) if others else df
     if anchored:
         if not is_skewed(df, [anchor], limit):
             out = add_anchored(out, anchored, anchor, time, row, wrap_day)

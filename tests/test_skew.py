@@ -237,3 +237,20 @@ def test_auc_against_brute_force(spark):
         pos, neg = part.p[part.y == 1].to_numpy(), part.p[part.y == 0].to_numpy()
         wins = (pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()
         assert got[g] == pytest.approx(wins / (len(pos) * len(neg)))
+
+
+def test_gaps_without_the_anchor_share_one_exchange(small_slices, skewed):
+    """Ranges of 16 rows, broadcasts of 10: every set equals its own window, and the clicks are exchanged once."""
+    sets = [("device",), ("device", "channel"), ("app", "device", "channel"), ("app", "hour")]
+    wanted = [(keys, {"next_name": f"n{i}", "prev_name": f"p{i}", "cumcount_name": f"c{i}"}) for i, keys in enumerate(sets)]
+    names = [f"{p}{i}" for i in range(len(sets)) for p in "npc"]
+    got = sequence.add_sliced_sequences(skewed, wanted)
+    plain = skewed
+    for keys, columns in wanted:
+        plain = sequence.add_sequence(plain, keys, **columns, skewed=False)
+    assert sorted(map(tuple, got.select("row_id", *names).collect())) == sorted(map(tuple, plain.select("row_id", *names).collect()))
+    small_slices.conf.set("spark.clickfeat.broadcastRows", "100000")
+    out = sequence.add_sliced_sequences(skewed, wanted)
+    small_slices.conf.set("spark.clickfeat.broadcastRows", "10")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
