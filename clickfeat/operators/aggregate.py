@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickfeat.operators.skew import attach_by_key
+from clickfeat.session import materialise
 
 
 def corrected_skewness(n: Column, population: Column) -> Column:
@@ -63,12 +64,12 @@ def add_measures(
     return attach_by_key(df, table, keys, "__n", limit=limit)
 
 
-def weighted_measure(kind: str, value: str | None, weight: str, origin: float = 0.0) -> Column:
+def weighted_measure(kind: str, value: str | None, weight: str, origin: float | Column = 0.0) -> Column:
     """The same measure over a table of distinct value combinations with their row counts.
 
-    Power sums are taken in doubles around ``origin``, a value in the middle of
-    the column: that leaves variance and skewness as they are and keeps large
-    values such as epoch seconds from cancelling.
+    Power sums are taken in doubles around ``origin``.  For a mean any value in the middle of the column does; variance
+    and skewness need the mean of the group itself (see ``with_group_means``), else the sums of a narrow group far
+    from the origin cancel.
     """
     w = F.col(weight)
     if kind == "count":
@@ -79,11 +80,12 @@ def weighted_measure(kind: str, value: str | None, weight: str, origin: float =
         return rows
     if kind == "nunique":
         return F.count_distinct(F.col(value))
-    v = v - F.lit(float(origin))
+    origin = origin if isinstance(origin, Column) else F.lit(float(origin))
+    v = v - origin
     n, s, ss = rows.cast("double"), F.sum(w * v), F.sum(w * v * v)
     some = F.nullif(n, F.lit(0.0))
     if kind == "mean":
-        return s / some + F.lit(float(origin))
+        return s / some + origin
     spread = n * ss - s * s
     if kind == "var":
         return F.when(n > 1, F.greatest(spread, F.lit(0.0)) / F.nullif(n * (n - 1), F.lit(0.0)))
@@ -95,6 +97,24 @@ def weighted_measure(kind: str, value: str | None, weight: str, origin: float =
     raise ValueError(f"unknown measure kind {kind!r}")
 
 
+def with_group_means(
+    base: DataFrame, keys: Sequence[str], values: Mapping[str, float], weight: str, *, small: bool, limit: int | None = None
+) -> DataFrame:
+    """Add ``__m_<value>``, the mean of the row's group, for each value column (with a value in its middle).
+
+    A first roll-up gives the means; a ``small`` table of them is broadcast, another is joined with salts for groups of
+    many combinations.
+    """
+    means = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__c"),
+        *[weighted_measure("mean", c, weight, middle).alias(f"__m_{c}") for c, middle in values.items()],
+    )
+    if small:
+        return base.join(F.broadcast(means.drop("__c")), list(keys), "left")
+    mixed = base.withColumn("__mix", F.xxhash64(*base.columns))
+    return attach_by_key(mixed, materialise(means), keys, "__c", spread_by="__mix", limit=limit).drop("__mix")
+
+
 def add_count(df: DataFrame, keys: Sequence[str], name: str | None = None) -> DataFrame:
     return add_measures(df, keys, {name or f"{'_'.join(keys)}_count": ("count", None)})
 

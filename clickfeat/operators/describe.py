@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from clickfeat.functions.encode import map_label, truncate_text
 from clickfeat.operators.skew import row_index, running_totals
-from clickfeat.session import materialise
 
-
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column name, value) rows."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
-    )
-    return df.select(F.explode(pairs).alias("p")).select("p.column", "p.v").filter("v is not null")
+# Accuracy of the sketches, and how far from a quantile its bracket's ends are aimed.
+SKETCH = 4000
+BRACKET = 1 / 2000
 
 
 def describe_basic(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -35,43 +33,115 @@ def describe_basic(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return unpivoted.select("p.column", *[f"p.{name}" for name in measures]).filter("mean is not null")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles per column, exact, without holding a column in one task.
+@dataclass(frozen=True)
+class _Mark:
+    """A quantile of one column: its position ``at`` among ``n`` sorted values lies between two known values.
 
-    Values are counted per distinct value; a running total gives each value the
-    range of positions it fills, and only values at a wanted position are kept.
+    ``below`` values are smaller than ``low``, ``upto`` not larger, ``under`` smaller than ``high``.  Without values to
+    bracket it, ``low`` and ``high`` are None and every value is inside.
     """
-    counts = materialise(_long(df, cols).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
-    ranked = running_totals(counts, "v", ["n"], ["column"], ready=True)
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    marks = totals.select("column", "total", F.explode(wanted).alias("w")).select(
-        "column", F.col("w.i").alias("i"), ((F.col("total") - 1) * F.col("w.p")).alias("h")
-    )
-    # One row per column and probability.
-    hits = ranked.join(F.broadcast(marks), "column").filter(
-        (F.col("n_before") <= F.ceil("h")) & (F.col("n_before") + F.col("n") > F.floor("h"))
-    )
-    low, high = F.min("v"), F.max("v")
-    part = F.max(F.col("h") - F.floor("h"))
-    quantile = hits.groupBy("column", "i").agg((low + (high - low) * part).alias("q"))
-    return quantile.groupBy("column").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"p{round(p * 100)}") for i, p in enumerate(probs)]
+
+    column: int
+    name: str
+    at: float
+    low: float | None
+    high: float | None
+    below: int
+    upto: int
+    under: int
+
+    @property
+    def positions(self) -> tuple[int, int]:
+        return floor(self.at), ceil(self.at)
+
+    def known(self, position: int) -> float | None:
+        """The value at a position, if it is an end of the bracket."""
+        if self.low is not None and self.below <= position < self.upto:
+            return self.low
+        return self.high if self.high is not None and position >= self.under else None
+
+    def holds(self, v: Column) -> Column:
+        return F.lit(True) if self.low is None else (v > F.lit(self.low)) & (v < F.lit(self.high))
+
+
+def _marks(df: DataFrame, values: Sequence[Column], probs: Sequence[float], sizes: Sequence[int], sketch: Row) -> list[_Mark]:
+    """Brackets from the sketches, counted exactly; one whose counts miss the position is opened to all values."""
+    ends = {
+        (i, j): (sketch[f"q{i}"][2 * j], sketch[f"q{i}"][2 * j + 1])
+        for i, size in enumerate(sizes) if size for j in range(len(probs))
+    }
+    if not ends:
+        return []
+    tests = {"below": lambda v, a, b: v < a, "upto": lambda v, a, b: v <= a, "under": lambda v, a, b: v < b, "all": lambda v, a, b: v <= b}
+    counted = df.agg(
+        *[
+            F.count_if(test(values[i], F.lit(low), F.lit(high))).alias(f"{name}_{i}_{j}")
+            for (i, j), (low, high) in ends.items() for name, test in tests.items()
+        ]
+    ).first()
+    out = []
+    for (i, j), (low, high) in ends.items():
+        at = (sizes[i] - 1) * probs[j]
+        below, upto, under, last = (counted[f"{name}_{i}_{j}"] for name in tests)
+        good = below <= floor(at) and ceil(at) < last
+        bracket = (low, high, below, upto, under) if good else (None, None, 0, 0, sizes[i])
+        out.append(_Mark(i, f"p{round(probs[j] * 100)}", at, *bracket))
+    return out
+
+
+def _inside(df: DataFrame, values: Sequence[Column], marks: Sequence[_Mark]) -> dict[tuple[int, int], float]:
+    """Values at the (mark, position) pairs that lie inside brackets."""
+    wanted = {(m, p) for m, mark in enumerate(marks) for p in mark.positions if mark.known(p) is None}
+    if not wanted:
+        return {}
+    open_ = sorted({m for m, _ in wanted})
+    hits = F.array(
+        *[
+            F.when(marks[m].holds(values[marks[m].column]), F.struct(F.lit(m).alias("m"), values[marks[m].column].alias("v")))
+            for m in open_
+        ]
     )
+    # Rows without a value inside a bracket end here; the others give their values inside brackets only.
+    kept = df.select(F.array_compact(hits).alias("hits")).filter(F.size("hits") > 0)
+    counts = kept.select(F.inline("hits")).filter("v is not null").groupBy("m", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, "v", ["n"], ["m"])
+    # One row per column and probability, two at most.
+    places = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(p - marks[m].upto).cast("long").alias("i")) for m, p in sorted(wanted)])
+    asked = df.sparkSession.range(1).select(F.inline(places))
+    found = ranked.join(F.broadcast(asked), "m").filter((F.col("n_before") <= F.col("i")) & (F.col("i") < F.col("n_before") + F.col("n")))
+    return {(r["m"], r["p"]): r["v"] for r in found.select("m", "p", "v").collect()}
 
 
 def describe_full(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, min, quartiles, max per column."""
-    basic = _long(df, cols).groupBy("column").agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    return basic.join(exact_quantiles(df, cols, (0.25, 0.5, 0.75)), "column").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+    """Count, mean, sample deviation, min, quartiles, max per column; columns without values are left out.
+
+    The quartiles are exact, with linear interpolation, and no row is multiplied by the columns.  One pass takes the
+    plain summaries and a sketch of each column, which puts each quartile between two values; the next counts how
+    many values lie below them; the last keeps only values strictly between.  Those are a few thousandths of the rows
+    whatever the ties, since values equal to an end of a bracket are counted, not kept.
+    """
+    probs = (0.25, 0.5, 0.75)
+    values = [F.col(c).cast("double") for c in cols]
+    ends = [min(max(p + side * BRACKET, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    plain = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    summary = df.agg(
+        *[f(v).alias(f"{name}_{i}") for i, v in enumerate(values) for name, f in plain.items()],
+        *[F.percentile_approx(v, ends, SKETCH).alias(f"q{i}") for i, v in enumerate(values)],
+    ).first()
+    marks = _marks(df, values, probs, [summary[f"count_{i}"] for i in range(len(cols))], summary)
+    inside = _inside(df, values, marks)
+    quartiles: dict[int, dict[str, float]] = defaultdict(dict)
+    for m, mark in enumerate(marks):
+        low, high = (inside[m, p] if mark.known(p) is None else mark.known(p) for p in mark.positions)
+        part = mark.at - mark.positions[0]
+        quartiles[mark.column][mark.name] = low + (high - low) * part if low != high else low
+    # One row per column.
+    rows = [
+        (cols[i], *[summary[f"{name}_{i}"] for name in ("count", "mean", "std", "min")], *own.values(), summary[f"max_{i}"])
+        for i, own in quartiles.items()
+    ]
+    fields = ["mean", "std", "min", *next(iter(quartiles.values()), {f"p{round(p * 100)}": 0 for p in probs}), "max"]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, " + ", ".join(f"{f} double" for f in fields))
 
 
 def feature_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:

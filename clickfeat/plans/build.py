@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickfeat.functions.timeparts import epoch_seconds, gap_seconds
-from clickfeat.operators.aggregate import corrected_skewness, weighted_measure
+from clickfeat.operators.aggregate import corrected_skewness, weighted_measure, with_group_means
 from clickfeat.operators.sequence import NO_NEXT_CLICK, add_sequence, add_sliced_sequences
 from clickfeat.operators.skew import attach_by_key, is_skewed, key_counts
 from clickfeat.plans.specs import SEQUENCE_KINDS, FeatureSpec
@@ -153,12 +153,21 @@ def add_group_tables(
     most = broadcast_rows(df.sparkSession)
     out = df
     for i, (keys, group) in enumerate(by_keys.items()):
-        table = base.groupBy(*keys).agg(
+        # The sketch is off by under one percent.
+        small = sizes[f"k{i}"] * 1.1 <= most
+        # Variance and skewness are summed around the mean of each group.
+        spread = {s.value: origin[s.value] for s in group if s.kind in ("var", "skew")}
+        rows = with_group_means(base, keys, spread, "__w", small=small, limit=limit) if spread else base
+        table = rows.groupBy(*keys).agg(
             F.sum("__w").alias("__n"),
-            *[weighted_measure(s.kind, s.value, "__w", origin.get(s.value, 0.0)).alias(s.name) for s in group],
+            *[
+                weighted_measure(
+                    s.kind, s.value, "__w", F.col(f"__m_{s.value}") if s.kind in ("var", "skew") else origin.get(s.value, 0.0)
+                ).alias(s.name)
+                for s in group
+            ],
         )
-        # The sketch is off by under one percent.
-        if sizes[f"k{i}"] * 1.1 <= most:
+        if small:
             out = out.join(F.broadcast(table.drop("__n")), list(keys), "left")
         else:
             out = attach_by_key(out, table, keys, "__n", limit=limit)

@@ -1,14 +1,16 @@
 """Results must not depend on size, on the plan chosen for hot keys, or on nulls among the keys."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from clickfeat.functions import encode
 from clickfeat.learning import calibrate, learners, tune
-from clickfeat.operators import profiles, score, skew, split
+from clickfeat.operators import describe, profiles, score, skew, split
 from clickfeat.plans.build import add_features
 from clickfeat.plans.specs import FeatureSpec
 from clickfeat.sources.writers import cached_feature, input_files
@@ -98,6 +100,72 @@ def test_moments_do_not_depend_on_the_plan(spark):
         assert got.m == pytest.approx(even.mean(), rel=1e-12) and got.va == pytest.approx(even.var(), rel=1e-9)
 
 
+@pytest.mark.parametrize("most", ["500000", "0"])
+def test_variance_of_a_narrow_group_far_from_the_others(spark, most):
+    """The groups lie 10^6 and more deviations apart; sums around one origin for all would lose the narrow one."""
+    n, near = 600, 1_000_000.0
+    values = [5e8 + near * i if i % 3 else 0.5 * (i % 7) for i in range(n)]
+    app = [int(bool(i % 3)) for i in range(n)]
+    frame = pd.DataFrame(
+        {"row_id": range(n), "ip": 1, "app": app, "device": 1, "os": 1, "channel": range(n), "is_attributed": 0, "x": values}
+    ).assign(click_time=pd.Timestamp("2020-03-01"))
+    specs = [FeatureSpec("v", "var", ("app",), "x"), FeatureSpec("k", "skew", ("app",), "x"), FeatureSpec("m", "mean", ("app",), "x")]
+    before = spark.conf.get("spark.clickfeat.broadcastRows", None)
+    spark.conf.set("spark.clickfeat.broadcastRows", most)
+    try:
+        got = {r.app: r for r in add_features(spark.createDataFrame(frame), specs, limit=50).select("app", "v", "k", "m").distinct().collect()}
+    finally:
+        spark.conf.unset("spark.clickfeat.broadcastRows") if before is None else spark.conf.set("spark.clickfeat.broadcastRows", before)
+    for key, own in frame.groupby("app").x:
+        assert (got[key].v, got[key].k) == pytest.approx((own.var(), own.skew()), rel=1e-9, abs=1e-9)
+        assert got[key].m == pytest.approx(own.mean(), rel=1e-9, abs=1e-6)
+
+
+def described(df, cols):
+    return {r["column"]: r for r in describe.describe_full(df, cols).collect()}
+
+
+def test_describe_full_of_ties_and_odd_columns(spark):
+    rng = random.Random(3)
+    n = 30_000
+    frame = pd.DataFrame(
+        {
+            "even": [rng.random() for _ in range(n)],
+            "tied": [float(rng.choice([1, 1, 1, 2, 9])) for _ in range(n)],
+            "sparse": [rng.gauss(0, 1) if rng.random() < 0.01 else None for _ in range(n)],
+            "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(n)],
+            "one": [7.0 if i == 5 else None for i in range(n)],
+            "none": [None] * n,
+        }
+    ).astype("float64")
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in frame))
+    got = described(df, list(frame))
+    assert set(got) == set(frame) - {"none"}
+    for c, row in got.items():
+        own = frame[c].dropna()
+        assert (row["count"], row["min"], row["max"]) == (len(own), own.min(), own.max())
+        assert [row["p25"], row["p50"], row["p75"]] == pytest.approx(list(own.quantile([0.25, 0.5, 0.75])), rel=1e-12)
+    assert described(df.limit(0), ["even"]) == {}
+
+
+def test_describe_full_with_sketches_that_miss(spark, monkeypatch):
+    """Brackets aimed at the wrong place are found out by their counts."""
+    monkeypatch.setattr(describe, "BRACKET", -0.2)
+    values = [float((i * 7919) % 4001) for i in range(4001)]
+    row = described(spark.createDataFrame([(v,) for v in values], "x double"), ["x"])["x"]
+    assert (row.p25, row.p50, row.p75) == (1000.0, 2000.0, 3000.0)
+
+
+def test_describe_full_keeps_few_rows(spark, monkeypatch):
+    """No row is multiplied: what is generated is a small part of the rows, whatever the ties."""
+    seen = []
+    plain = describe.running_totals
+    monkeypatch.setattr(describe, "running_totals", lambda df, *a: (seen.append(df.agg(F.sum("n")).first()[0]), plain(df, *a))[1])
+    df = spark.range(200_000).select(F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 4).alias("c"), F.floor(F.rand(3) * 50).alias("d"))
+    described(df, ["a", "b", "c", "d"])
+    assert sum(seen) < 0.02 * 200_000
+
+
 def test_isotonic_keeps_tiny_scores_apart(spark):
     rows = [(i * 1e-10, float(i >= 500)) for i in range(1000)]
     df = spark.createDataFrame(rows, "s double, y double")
