@@ -6,7 +6,8 @@ them in Spark; the log-probability matrix (languages x slots) has a size fixed b
 collected and broadcast.  Scoring gathers and sums matrix columns for a batch of documents at once.
 
 Training reads whole texts of at most about ``per_language`` labelled documents of each language, chosen by a
-hash of id and text: the bound is a parameter, and a rare language keeps all of its documents.
+hash of id and text: the bound is a parameter, and a rare language keeps all of its documents.  The prior is each
+language's share of all labelled rows.
 
 Defined cases: null text, empty text or text without a letter gives ``und`` with score 0; an empty or unlabelled
 training table gives ``und`` for all; equal scores go to the language that sorts first; repeated rows count as
@@ -156,7 +157,8 @@ def train(
     table += smoothing
     matrix = np.zeros((len(languages), (1 << bits) + 1))
     matrix[:, :-1] = np.log(table / table.sum(axis=1, keepdims=True))
-    weight = np.array([min(size[lang], per_language) for lang in languages], dtype=float)
+    # The prior follows all labelled rows, not those drawn for the counts.
+    weight = np.array([size[lang] for lang in languages], dtype=float)
     return LanguageModel(languages, matrix, np.log(weight / weight.sum()), bits)
 
 

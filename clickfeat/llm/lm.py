@@ -4,8 +4,9 @@ The tokens are characters.  The background model counts all documents, the targe
 both share one vocabulary, order and smoothing and are counted in one pass over whole texts.  An n-gram's
 probability is its frequency after its context, smoothed towards the probability of the shorter n-gram
 (``WEIGHT`` pseudo counts), down to a uniform vocabulary.  A document's score is its mean over tokens of
-(target loss - background loss), in nats: the lower, the more it reads like the target.  A target document is scored by
-target counts without its own, so that it cannot vouch for itself.
+(target loss - background loss), in nats: the lower, the more it reads like the target.  A document is scored by counts
+without its own, in both models, so that it cannot vouch for itself and labelled documents fare no worse or better
+than equal ones without a label.  The uniform vocabulary is the distinct characters counted, the boundary included.
 
 Counts are exact and stay in Spark: one row (n-gram, background count, target count) for each distinct n-gram, however
 many the corpus has.  Documents are dealt into blocks of about ``BLOCK`` characters.  A block's distinct n-grams, with
@@ -92,14 +93,17 @@ def ngram_ids(texts: list[str]) -> tuple[list[np.ndarray], list[tuple[np.ndarray
 
 @dataclass
 class NgramModels:
-    """Counts per order for background (row 0) and target (row 1), and the tokens of each if not all are in the counts."""
+    """Counts per order for background (row 0) and target (row 1); the tokens of each and the distinct ones, if not all
+    are in the counts."""
 
     counts: list[np.ndarray]
     totals: tuple[int, int] | None = None
+    vocabulary: int | None = None
 
     def losses(self, model: int, slots: list[np.ndarray], own: list[np.ndarray] | None = None) -> np.ndarray:
         """Loss at each position; ``own`` are counts to leave out, per order and position."""
-        p = np.float64(1.0) / (1 << BITS[0])
+        distinct = np.count_nonzero(self.counts[0][0]) if self.vocabulary is None else self.vocabulary
+        p = np.float64(1.0) / max(distinct, 1)
         total = self.totals[model] if self.totals else self.counts[0][model].sum(dtype=np.float64)
         context = np.full(len(slots[0]), float(total))
         if own is not None:
@@ -122,15 +126,17 @@ class NgramModels:
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scored = np.ones(len(slots[0]))
         scored[(starts[:, None] + np.arange(PAD)).ravel()] = 0.0
-        sums = [np.add.reduceat(self.losses(m, slots) * scored, starts) for m in (0, 1)]
-        for i in np.flatnonzero(target):
-            part = slice(starts[i], starts[i] + lengths[i])
-            mine = [s[part] for s in slots]
-            own = []
-            for s in mine:
-                _, inverse, n = np.unique(s, return_inverse=True, return_counts=True)
-                own.append(n[inverse])
-            sums[1][i] = (self.losses(1, mine, own) * scored[part]).sum()
+        sums = np.zeros((2, len(starts)))
+        counters = [np.zeros(table.shape[1], dtype=np.int32) for table in self.counts]
+        for i, start in enumerate(starts):
+            part = slice(start, start + lengths[i])
+            mine, own = [s[part] for s in slots], []
+            for counter, s in zip(counters, mine, strict=True):
+                np.add.at(counter, s, 1)
+                own.append(counter[s])
+                counter[s] = 0
+            sums[0, i] = (self.losses(0, mine, own) * scored[part]).sum()
+            sums[1, i] = (self.losses(1, mine, own if target[i] else None) * scored[part]).sum()
         n = lengths - PAD
         with np.errstate(invalid="ignore"):
             return n, sums[1] / np.maximum(n, 1), sums[0] / np.maximum(n, 1)
@@ -235,8 +241,9 @@ def score(rows: DataFrame) -> DataFrame:
     grams = block_counts(rows)
     sums = grams.groupBy("high", "low").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     found = grams.select("block", "high", "low").join(sums.hint("merge"), ["high", "low"])
-    tokens = grams.filter("high = -1 or (high >= 0 and shiftright(high, 42) = 0)").agg(F.sum("n"), F.sum("m")).first()
-    totals = (tokens[0] or 0, tokens[1] or 0)
+    characters = grams.filter("high = -1 or (high >= 0 and shiftright(high, 42) = 0)")
+    tokens = characters.agg(F.sum("n"), F.sum("m"), F.count_distinct("high", "low")).first()
+    totals, vocabulary = (tokens[0] or 0, tokens[1] or 0), tokens[2]
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         slots, own, starts, lengths = ngram_ids(docs["text"].to_pylist())
@@ -248,7 +255,7 @@ def score(rows: DataFrame) -> DataFrame:
             for model, name in enumerate(("n", "m")):
                 table[model, both["at"].to_numpy()] = both[name].to_numpy()
             counts.append(table)
-        models, target, out = NgramModels(counts, totals), docs["target"].to_pylist(), []
+        models, target, out = NgramModels(counts, totals, vocabulary), docs["target"].to_pylist(), []
         for i in range(0, len(starts), 128):
             first, ends = starts[i], starts[i : i + 128] + lengths[i : i + 128]
             some = [s[first : ends[-1]] for s in slots]

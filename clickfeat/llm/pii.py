@@ -4,9 +4,15 @@ The base spans are plain patterns with checks (email, ip, card, phone) and are a
 generators of high recall propose overlapping candidates of the same kinds: spaced or bracketed addresses, numbers
 with other separators, numbers without a plus sign.  Boosted trees score a candidate by its format (length, digits,
 groups, checksum, number range) and context (neighbouring characters and cue words).  They are fitted on at most
-``SAMPLE`` candidates drawn by hash, labelled by whether a base span covers them; on the half held out, a monotone
-calibration turns scores into probabilities, and a kind's threshold is the lowest probability at which held-out
-precision reaches ``PRECISION``.  Candidates above it that meet no base span of their kind are added.
+``SAMPLE`` candidates drawn by hash; on the half held out, a monotone calibration turns scores into probabilities, and
+a kind's threshold is the lowest probability at which held-out precision reaches ``PRECISION``.  Candidates above it
+that meet no base span are added.
+
+The labels come from the corpus's own personal data.  Base spans are rewritten where they stand into forms that the
+plain patterns miss; the candidates that cover them there are the positives.  Negatives are candidates that meet no
+base span and bear no evidence of their own (an address's markers, a checksum, a cue word before a number), and
+rewritten spans made invalid: a wrong checksum, a part above 255, too few digits.  Candidates with such evidence are
+not used, since nothing tells what they are.
 
 Defined cases: null text is empty and has no spans; every row is treated by itself, so repeated rows give repeated
 results; without labelled candidates of a kind nothing of that kind is added; other columns are ignored; an empty
@@ -16,6 +22,7 @@ table gives no rows.  All patterns run in time linear in the text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,6 +55,7 @@ _WIDE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._-]{0,2}[0-9]{2,6}){2,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])\+?\(?[0-9]{1,4}\)?(?:[ ()./-]{1,2}[0-9]{2,4}){2,4}(?![0-9])"),
 }
+_AT = re.compile(r"\(at\)|\[at\]")
 _CUES = {
     "email": re.compile(r"mail|contact|write", re.I),
     "ip": re.compile(r"\bip\b|host|server|address", re.I),
@@ -129,6 +137,9 @@ def features(text: str, span: Span) -> list[float]:
         float(not right or right[0].isspace() or right[0] in ")]>.,;:!?"),
         float(bool(_CUES[kind].search(left))),
         float(any(c.isalpha() for c in own)),
+        float(bool(_AT.search(own))),
+        float(own.count(". ")),
+        float("(" in own),
     ]
 
 
@@ -141,6 +152,91 @@ def covered(span: Span, base: list[Span]) -> bool:
     return False
 
 
+def grouped(digits: str, way: int) -> list[str]:
+    """A number in groups: with its first digits apart, without them, or in twos to fours from the left."""
+    head = max(len(digits) - 10, 0)
+    if way < 2 and head < 5:
+        groups = [digits[: head * (1 - way)], digits[head : head + 3], digits[head + 3 : head + 6], digits[head + 6 :]]
+    else:
+        rest, parts = len(digits) - 6, -(-(len(digits) - 6) // 4)
+        cuts = [0, 3, 6, *(6 + rest * k // parts for k in range(1, parts + 1))] if rest > 0 else [0, 3, len(digits)]
+        groups = [digits[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [g for g in groups if g]
+
+
+def disguised(kind: str, own: str, invalid: bool = False) -> str:
+    """A base span in a form that the plain patterns miss, chosen by a checksum of the span; or such a form made invalid."""
+    pick = zlib.crc32(own.encode("utf-8", "surrogatepass"))
+    if kind == "email":
+        if invalid:
+            return own.replace("@", " @ ").replace(".", ". ")
+        name, domain = own.split("@", 1)
+        at = (" (at) ", " [at] ", "(at)", "[at]", " @ ")[pick % 5]
+        return name + at + domain.replace(".", (".", " (dot) ", " [dot] ", ".")[pick // 5 % 4])
+    if kind == "ip":
+        parts = own.split(".")
+        if invalid:
+            parts[pick // 5 % 4] = str(300 + pick % 600)
+        return "_-,"[pick % 3].join(parts)
+    digits = digits_of(own)
+    if kind == "card":
+        if invalid:
+            digits = digits[:-1] + str((int(digits[-1]) + 1 + pick % 9) % 10)
+        return (".", "  ", "_", "--")[pick % 4].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if invalid:
+        digits = digits[: 6 + pick % 3]
+    groups = grouped(digits, pick % 3)
+    if pick // 3 % 3 == 0:
+        groups[0] = f"({groups[0]})"
+    return (" ", "-", ".", " ")[pick // 9 % 4].join(groups)
+
+
+def rewritten(text: str, base: list[Span], invalid: bool = False) -> tuple[str, list[Span]]:
+    """The text with its base spans disguised, and where they are now; a span that meets an earlier one stays out."""
+    out, spans, last, size = [], [], 0, 0
+    for kind, start, end in base:
+        if start < last:
+            continue
+        form = disguised(kind, text[start:end], invalid)
+        out += [text[last:start], form]
+        size += start - last + len(form)
+        spans.append((kind, size - len(form), size))
+        last = end
+    return "".join([*out, text[last:]]), spans
+
+
+def evident(text: str, span: Span) -> bool:
+    """Whether a candidate that no base span covers has evidence apart from its pattern."""
+    kind, start, end = span
+    own, cue = text[start:end], bool(_CUES[kind].search(text, max(0, start - 32), start))
+    digits = digits_of(own)
+    if kind == "email":
+        return bool(_AT.search(own)) or ". " not in own
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ip":
+        return cue and all(int(part) <= 255 for part in re.findall("[0-9]+", own))
+    return 10 <= len(digits) <= 15 and (cue or "(" in own)
+
+
+def meets(span: Span, base: list[Span]) -> bool:
+    return any(b[1] < span[2] and span[1] < b[2] for b in base)
+
+
+def examples(text: str) -> Iterator[tuple[list[float], float]]:
+    """Labelled candidates of a text: see the module's second paragraph."""
+    base = base_spans(text)
+    for c in candidates(text):
+        if not meets(c, base) and not evident(text, c):
+            yield features(text, c), 0.0
+    for invalid in (False, True) if base else ():
+        other, spans = rewritten(text, base, invalid)
+        left = base_spans(other)
+        for c in candidates(other):
+            if covered(c, spans) and not meets(c, left):
+                yield features(other, c), float(not invalid)
+
+
 @dataclass
 class BoostedTrees:
     """Logistic gradient boosting over binned features; a tree is a list of levels of (feature, bin) splits."""
@@ -226,7 +322,7 @@ class Detector:
         open_ = [
             c
             for c in candidates(text)
-            if self.thresholds.get(c[0], 2.0) <= 1 and not any(b[0] == c[0] and b[1] < c[2] and c[1] < b[2] for b in base)
+            if self.thresholds.get(c[0], 2.0) <= 1 and not meets(c, base)
         ]
         added: list[Span] = []
         if open_:
@@ -243,16 +339,11 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found, labels = [], []
-            for text in part.column(0).to_pylist():
-                spans = candidates(text)
-                base = base_spans(text) if spans else []
-                for span in spans:
-                    found.append(features(text, span))
-                    labels.append(float(covered(span, base)))
+            made = [x for text in part.column(0).to_pylist() for x in examples(text)]
+            found, labels = [x for x, _ in made], [y for _, y in made]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["x", "y"])
 
-    # Whole documents are drawn by hash, four per candidate wanted at most; then candidates, by hash too.
+    # Whole documents are drawn by hash, about one per candidate wanted; then candidates, by hash too.
     n = rows.count()
     share = min(1_000_000, int(1_000_000 * sample / n) + 1) if n else 0
     drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text")

@@ -112,6 +112,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESCAPED = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
 
+# The template's turn orders as a regular language over the first letters of the roles; z is any other role.
+_ROLES = (
+    "string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'z' end, '' "
+    "order by turn, role, text)"
+)
+_STATE = f"""case when regexp_full_match({_ROLES}, 's') then 'primed' when regexp_full_match({_ROLES}, 's?(ua)*u') then 'asked'
+            when regexp_full_match({_ROLES}, 's?(ua)+') then 'answered' else 'error' end"""
+
 
 @query(
     "op4_chat_template",
@@ -124,7 +132,8 @@ select conv_id, count(*) as n_turns,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(length('<|start|>') + length(replace({_ESCAPED.format('role')}, chr(10), '<|nl|>')) + 1
-                + length({_ESCAPED.format('text')}) + length('<|end|>') + 1) as bigint) as formatted_chars
+                + length({_ESCAPED.format('text')}) + length('<|end|>') + 1) as bigint) as formatted_chars,
+       {_STATE} as end_state, {_STATE} = 'answered' as valid
 from turns group by conv_id""",
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +152,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "end_state",
+        "valid",
     )
 
 

@@ -86,6 +86,57 @@ def test_added_spans_need_precision(spark):
     assert all(0.5 <= t <= 1 for t in detector.thresholds.values())
 
 
+def personal(rng, i):
+    digits = "".join(rng.choice("0123456789") for _ in range(15))
+    card = next(digits + d for d in "0123456789" if pii.luhn(digits + d))
+    phone = f"+{rng.randint(1, 99)} {rng.randint(200, 999)} {rng.randint(100, 999)} {rng.randint(1000, 99_999_99)}"
+    name, host = rng.choice(["jo", "anna.lee", f"name{i}", f"m_{i % 90}"]), rng.choice(["mail.org", "host7.example.org", "a-b.net"])
+    return [f"{name}@{host}", ".".join(str(rng.randint(1, 254)) for _ in range(4)), card, phone][i % 4]
+
+
+def clean(rng, i):
+    """Numbers that look like personal data and are not."""
+    made = [
+        f"order {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(10, 99)} came",
+        f"version {rng.randint(1, 9)}.{rng.randint(300, 999)}.{rng.randint(1, 99)}.{rng.randint(300, 999)} is out",
+        f"from {rng.randint(1900, 2020)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} to {rng.randint(1900, 2020)}-11-02",
+        f"see @ home. or at noon, page {rng.randint(1, 99)}",
+    ]
+    return made[i % 4]
+
+
+def test_added_spans_are_disguised_ones(spark):
+    """Disguised addresses and numbers that the plain patterns miss are added; clean numbers are not."""
+    rng = random.Random(2)
+    rows = [(i, f"{words(rng, 8)} {personal(rng, i // 2) if i % 2 else clean(rng, i // 2)} {words(rng, 5)}") for i in range(4000)]
+    hidden = ["jane.doe (at) example.org", "bob [at] corp [dot] com", "(212) 555 0199 7788", "4111.1111.1111.1111"]
+    planted = [(10_000 + i, f"{words(rng, 6)} write or call {hidden[i % 4]} today") for i in range(200)]
+    planted += [(20_000 + i, f"{words(rng, 6)} {clean(rng, i)}") for i in range(200)]
+    docs = frame(spark, rows + planted)
+    found = pii.find(docs, pii.fit(docs))
+    texts_of = dict(rows + planted)
+    got = {r.doc_id: [texts_of[r.doc_id][s["start"] : s["end"]] for s in r.spans if s not in r.base] for r in found.collect()}
+    for i in range(200):
+        assert any(hidden[i % 4] in span for span in got[10_000 + i]), hidden[i % 4]
+        assert not got[20_000 + i], texts_of[20_000 + i]
+    assert sum(bool(got[i]) for i in range(0, 4000, 2)) == 0
+
+
+def test_disguises_are_found_by_the_generators_only():
+    rng, missed = random.Random(3), 0
+    for i in range(2000):
+        own = personal(rng, i)
+        text, kind = f"x {own} y", pii.KINDS[i % 4]
+        (span,) = [s for s in pii.base_spans(text) if s[0] == kind]
+        for invalid in (False, True):
+            other, spans = pii.rewritten(text, [span], invalid)
+            assert len(spans) == 1 and other[spans[0][1] : spans[0][2]] == pii.disguised(kind, own, invalid)
+            assert not [s for s in pii.base_spans(other) if s[0] == kind]
+        other, spans = pii.rewritten(text, [span])
+        missed += not any(pii.covered(c, spans) for c in pii.candidates(other))
+    assert not missed
+
+
 def brute_losses(docs):
     """{doc: (n, target, background)} with counts in dictionaries."""
     counts = [[Counter() for _ in range(lm.ORDER)] for _ in (0, 1)]
@@ -105,14 +156,14 @@ def brute_losses(docs):
         sums = []
         for model in (1, 0):
             own = [Counter() for _ in range(lm.ORDER)]
-            if target and model:
+            if target or not model:
                 for _, each in grams(text):
                     for k, g in enumerate(each):
                         own[k][g] += 1
             total = sum(counts[model][0].values()) - sum(own[0].values())
             loss, before = 0.0, None
             for scored, each in grams(text):
-                p, context, now = 1 / (1 << lm.BITS[0]), total, []
+                p, context, now = 1 / len(counts[0][0]), total, []
                 for k, g in enumerate(each):
                     seen = counts[model][k][g] - own[k][g]
                     p = (min(seen, context) + lm.WEIGHT * p) / (context + lm.WEIGHT)
@@ -169,6 +220,56 @@ def test_language_model_in_spark(spark):
     assert lm.cross_entropy_difference(frame(spark, []), labels).count() == 0
 
 
+def test_equal_documents_score_alike_with_and_without_a_label(spark):
+    """Leaving a document out of one model only would set labelled documents apart from equal unlabelled ones."""
+    rng = random.Random(8)
+    docs = [(i, words(rng, 60)) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    got = [r.score for r in lm.cross_entropy_difference(frame(spark, docs), labels).orderBy("doc_id").collect()]
+    labelled, others = sum(got[:100]) / 100, sum(got[100:]) / 100
+    assert abs(labelled - others) < 0.02
+
+
+def test_language_id_matches_dictionaries(spark):
+    """Posteriors equal those of dictionaries of n-grams, with the prior of all labelled rows."""
+    bits, rng = 20, random.Random(9)
+    made = {"aa": "abc de", "bb": "xyz De", "cc": "ça été 漢"}
+    rows = [(i, rng.choice(list(made))) for i in range(60)]
+    docs = [(i, "".join(rng.choice(made[lang] + " 7.") for _ in range(rng.randint(3, 30))), lang) for i, lang in rows]
+
+    def grams(text):
+        seen = "".join(c if c.isalpha() else " " for c in text.lower()) + "  "
+        return [seen[i : i + k] for i in range(len(seen) - 2) for k in langid.ORDERS if seen[i : i + k].strip()]
+
+    counts, sizes = {lang: Counter() for lang in made}, Counter(lang for *_, lang in docs)
+    for _, text, lang in docs:
+        counts[lang].update(grams(text))
+    every = {g for c in counts.values() for g in c}
+    slots = {langid.ngram_slots([g], bits)[0].reshape(-1, len(langid.ORDERS))[0, len(g) - 1] for g in every}
+    assert len(slots) == len(every)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(df, langid.train(df, bits=bits, per_language=10**6)).collect()}
+    for i, text, _ in docs:
+        total = {
+            lang: math.log(sizes[lang] / len(docs))
+            + sum(math.log((counts[lang][g] + langid.SMOOTHING) / (counts[lang].total() + langid.SMOOTHING * 2**bits)) for g in grams(text))
+            for lang in made
+        }
+        top = max(sorted(total), key=total.get)
+        if grams(text):
+            share = 1 / sum(math.exp(v - total[top]) for v in total.values())
+            assert got[i].lang_pred == top and got[i].score == pytest.approx(share, rel=1e-6)
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+
+
+def test_language_prior_uses_all_rows(spark):
+    rows = [(i, "abc", "many" if i % 10 else "rare") for i in range(1000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    assert model.languages == ["many", "rare"]
+    assert [math.exp(x) for x in model.prior] == pytest.approx([0.9, 0.1])
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = QUERIES["op10_naive_bayes"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
