@@ -100,18 +100,18 @@ class NgramModels:
     totals: tuple[int, int] | None = None
     vocabulary: int | None = None
 
-    def losses(self, model: int, slots: list[np.ndarray], own: list[np.ndarray] | None = None) -> np.ndarray:
-        """Loss at each position; ``own`` are counts to leave out, per order and position."""
+    def __post_init__(self) -> None:
+        # Zero between uses.
+        self.counters = [np.zeros(table.shape[1], dtype=np.int64) for table in self.counts]
+
+    def losses(self, model: int, slots: list[np.ndarray], own: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+        """Loss at each position; ``own`` are counts to leave out, per order and position, ``left`` their tokens."""
         distinct = np.count_nonzero(self.counts[0][0]) if self.vocabulary is None else self.vocabulary
         p = np.float64(1.0) / max(distinct, 1)
         total = self.totals[model] if self.totals else self.counts[0][model].sum(dtype=np.float64)
-        context = np.full(len(slots[0]), float(total))
-        if own is not None:
-            context -= len(slots[0])
+        context = float(total) - left
         for order, slot in enumerate(slots):
-            seen = self.counts[order][model][slot].astype(np.float64)
-            if own is not None:
-                seen -= own[order]
+            seen = self.counts[order][model][slot].astype(np.float64) - own[order]
             # Slots may be shared by chance; an n-gram is not seen more often than its context.
             p = (np.minimum(seen, context) + WEIGHT * p) / (context + WEIGHT)
             context = np.concatenate([seen[:1] * 0, seen[:-1]])
@@ -126,17 +126,18 @@ class NgramModels:
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scored = np.ones(len(slots[0]))
         scored[(starts[:, None] + np.arange(PAD)).ravel()] = 0.0
-        sums = np.zeros((2, len(starts)))
-        counters = [np.zeros(table.shape[1], dtype=np.int32) for table in self.counts]
+        own = [np.empty(len(s), dtype=np.int64) for s in slots]
         for i, start in enumerate(starts):
             part = slice(start, start + lengths[i])
-            mine, own = [s[part] for s in slots], []
-            for counter, s in zip(counters, mine, strict=True):
-                np.add.at(counter, s, 1)
-                own.append(counter[s])
-                counter[s] = 0
-            sums[0, i] = (self.losses(0, mine, own) * scored[part]).sum()
-            sums[1, i] = (self.losses(1, mine, own if target[i] else None) * scored[part]).sum()
+            for counter, s, out in zip(self.counters, slots, own, strict=True):
+                mine = s[part]
+                np.add.at(counter, mine, 1)
+                out[part] = counter[mine]
+                counter[mine] = 0
+        left, chosen = np.repeat(lengths, lengths), np.repeat(np.array(target, dtype=bool), lengths)
+        background = self.losses(0, slots, own, left)
+        of_target = self.losses(1, slots, [o * chosen for o in own], left * chosen)
+        sums = [np.add.reduceat(x * scored, starts) for x in (background, of_target)]
         n = lengths - PAD
         with np.errstate(invalid="ignore"):
             return n, sums[1] / np.maximum(n, 1), sums[0] / np.maximum(n, 1)
