@@ -13,7 +13,10 @@ from clickfeat.session import stored
 # Rows a Python task handles at once; texts of one slice are in memory together.
 SLICE_ROWS = 512
 
-__all__ = ["SLICE_ROWS", "kept", "shuffle_partitions", "slices", "stored", "texts_of"]
+# Bits of the sketch that prunes rows by id; at most 16 MB, whatever the input.
+SKETCH_BITS = 1 << 27
+
+__all__ = ["SLICE_ROWS", "kept", "pruned", "shuffle_partitions", "slices", "stored", "texts_of"]
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,3 +45,22 @@ def kept(df: DataFrame) -> DataFrame:
     join can check before it broadcasts.
     """
     return stored(df, "step")
+
+
+def pruned(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` may be among the one-column table ``ids``: all that are, and some others.
+
+    The ids become a bitmap of ``SKETCH_BITS`` hashed bits, cut into maps of 4 KB that are broadcast: rows are not
+    moved and the plan is the same at every size.  With very many ids the bitmap fills up and prunes less.
+    """
+
+    def slot(name: str):
+        return F.pmod(F.xxhash64(F.col(name)), F.lit(SKETCH_BITS)) + 1
+
+    slots = ids.select(slot(ids.columns[0]).alias("slot")).withColumn("__part", F.bitmap_bucket_number("slot"))
+    maps = slots.repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__map"))
+    placed = rows.withColumn("__slot", slot(column)).withColumn("__part", F.bitmap_bucket_number("__slot"))
+    position = F.bitmap_bit_position("__slot")
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (position % 8).cast("int")) == 1
+    return placed.join(F.broadcast(kept(maps)), "__part").filter(hit).select(*rows.columns)

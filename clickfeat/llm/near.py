@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfeat.llm.common import kept, slices, stored, texts_of
+from clickfeat.llm.common import kept, pruned, slices, stored, texts_of
 from clickfeat.llm.similar import HASHES, WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
 
 WORDS = 5
@@ -99,8 +99,8 @@ def near_groups(
     heads = signed.join(classes.select("class", F.col("id").alias("doc_id")), ["class", "doc_id"], "left_semi")
     heads = stored(heads.dropDuplicates(["class", "doc_id"]).select(F.col("doc_id").alias("id"), "roots", "sketch", "bits"), "heads")
     def sets_of(ids: DataFrame) -> DataFrame:
-        texts = rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        return stored(shingle_sets(texts, words), "shingles")
+        # Texts stay where they are; only sets of the ids (and of a few others) are moved, by the joins that use them.
+        return stored(shingle_sets(pruned(rows, ids, "doc_id"), words), "shingles")
 
     def split(mixed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         few = (F.col("n") <= SMALL) | (2 * F.col("rest") <= F.col("n"))
