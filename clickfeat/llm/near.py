@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles.  Each of several independent trees sends a document along a path
 that its own minwise tokens choose: at the root one token position per tree, below it ``BRANCHES`` positions that a
 hash of the path selects, so that two similar sets stay together with high probability and others part.  Nodes of at
-most ``SMALL`` documents, and nodes that are mostly one component already, are compared exhaustively; other nodes
-branch on.  Every candidate pair is confirmed on the full sets.
+most ``SMALL`` documents are compared exhaustively, larger nodes that hold a family of copies, or that stay large at
+the end, by the rare shingles of their members; other nodes branch on.  Every candidate pair is confirmed on the full sets.
 
 Recall: at similarity 0.8 a pair misses a tree's root node with probability 0.2 and each of at most three lower nodes
 with 0.2**2, so it misses all 10 trees with a probability below 5e-6.  Rows with the same words are one class and need no comparison.
@@ -97,13 +97,16 @@ def near_groups(
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"))
     )
     heads = signed.join(classes.select("class", F.col("id").alias("doc_id")), ["class", "doc_id"], "left_semi")
-    heads = stored(heads.dropDuplicates(["class", "doc_id"]).select(F.col("doc_id").alias("id"), "roots", "sketch", "bits"), "heads")
+    heads = heads.dropDuplicates(["class", "doc_id"])
+    heads = heads.select(F.col("doc_id").alias("id"), "roots", "sketch", "bits", F.col("n_shingles").alias("size"))
+    heads = stored(heads, "heads")
+
     def sets_of(ids: DataFrame) -> DataFrame:
         # Texts stay where they are; only sets of the ids (and of a few others) are moved, by the joins that use them.
         return stored(shingle_sets(pruned(rows, ids, "doc_id"), words), "shingles")
 
     def split(mixed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        few = (F.col("n") <= SMALL) | (2 * F.col("rest") <= F.col("n"))
+        few = F.col("n") <= SMALL
         large = mixed.filter(~few).select("node", "id").join(heads.select("id", "sketch"), "id")
         spare = TOKENS - TREES
         start = F.pmod(F.col("node"), F.lit(spare))
@@ -115,7 +118,7 @@ def near_groups(
         below = large.select(F.explode(F.array(*children)).alias("node"), F.lit(-1).alias("place"), "id")
         return mixed.filter(few), kept(below)
 
-    comp = linked_components(heads, sets_of, numerator, denominator, split)
+    comp = linked_components(heads, sets_of, numerator, denominator, split, small=SMALL)
     named = kept(
         classes.join(comp.select("id", "component"), "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     )

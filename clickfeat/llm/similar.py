@@ -8,7 +8,8 @@ and not one per pair:
 2. in nodes that still hold more than one component, members outside the node's largest component with all members
    of other components.  Every pair across components has such a member, so no link between components is missed.
    Where ``split`` sends large root nodes on to smaller ones, those are not compared; a pair is reported in the first
-   shared node that is.
+   shared node that is.  Large nodes with a large component hold a family of edited copies; there
+   ``family_pairs`` looks for pairs by their rare shingles, so that the work grows with the family and not its square.
 
 ``bits`` holds two bits of each of 256 min-hashes.  Sets of similarity s agree in both bits of 256 * (1 + 3 s) / 4
 positions on average; at 0.8 fewer than ``AGREE`` agree with a probability below 3e-6, so this test may run before
@@ -18,6 +19,7 @@ sets are fetched.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,12 @@ from clickfeat.llm.common import kept, slices
 HASHES = 256
 AGREE = 190
 HUBS = 4
+# A shingle of at most so many members of a family is rare: its members meet each other directly.
+RARE = 32
+# A large node whose main component holds one in so many of its rows is a family.
+FAMILY = 8
+# Sizes within 2 percent share a bucket where members of like size are looked up.
+SIZE_STEPS = 50
 
 _MULTIPLY, _ADD = np.random.default_rng(77).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 
@@ -196,6 +204,107 @@ def cross_pairs(mixed: DataFrame, heads: DataFrame) -> DataFrame:
     return found.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
 
 
+def family_pairs(
+    families: DataFrame, heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], numerator: int, denominator: int
+) -> DataFrame:
+    """Pairs (a, b), a < b, across components within a family that may be linked and whose bits agree.
+
+    ``families`` has family (its main component), id and component.  A shingle is rare if at most ``RARE`` members of
+    the family hold it; a member of ``size`` shingles has ``common`` others.  A linked pair either shares a rare shingle, and
+    the equi-join on those finds it with at most ``RARE`` rows per shingle, or its whole intersection is common.  Then
+    the smaller ``common`` bounds the intersection, and ``(denominator + numerator) * common >= numerator * (sum of
+    sizes)`` must hold for it: that leaves each member a narrow range of partner sizes, which are joined by bucket.
+    Edits of their own take most members out of the second case; for the others a bit map of the common shingles
+    bounds the intersection from above.  No pair is lost: all are bounds of the exact test.
+    """
+    members = kept(families.join(heads.select("id", "bits", "size"), "id"))
+    sets = sets_of(members.select("id").distinct())
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1024):
+            families, ids, keys = [], [], []
+            for family, one, shingles in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                found = np.frombuffer(shingles, dtype=np.uint64)
+                # A family's own key of each shingle.
+                mixed = (found ^ np.uint64(family & ((1 << 64) - 1))) * np.uint64(0x9E3779B97F4A7C15)
+                keys.append((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
+                families.append(np.full(len(found), family, dtype=np.int64))
+                ids.append(np.full(len(found), one, dtype=np.int64))
+            if keys:
+                columns = [pa.array(np.concatenate(c)) for c in (families, ids, keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["family", "id", "key"])
+
+    held = members.select("family", "id").join(sets, "id").select("family", "id", "shingles")
+    postings = kept(held.mapInArrow(post, "family long, id long, key long"))
+    counted = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = kept(postings.join(kept(counted), "key"))
+
+    def sides(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+        renamed = [F.col(c).alias(c if c in on else f"hub_{c}") for c in rows.columns]
+        return rows.filter("component <> family"), rows.select(*renamed)
+
+    def pairs(left: DataFrame, right: DataFrame, on: list[str], *more) -> DataFrame:
+        # Two members outside the main component meet in both orders; one is enough.
+        once = (F.col("hub_component") == F.col("family")) | (F.col("id") < F.col("hub_id"))
+        near = once & (F.col("component") != F.col("hub_component")) & agree()
+        for condition in more:
+            near = near & condition
+        return left.join(right, on).filter(near).select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
+
+    rare = shared.filter(F.col("n") <= RARE).select("family", "id", "key")
+    rare = kept(rare.join(members.drop("size"), ["family", "id"]))
+    by_shingle = pairs(*sides(rare, ["family", "key"]), ["family", "key"])
+
+    # Common shingles are marked in a bit map of at least four bits per shingle of an average member.
+    average = members.groupBy("family").agg(F.pow(2, F.ceil(F.log2(F.avg("size") / 16 + 1))).cast("long").alias("longs"))
+    marked = shared.filter(F.col("n") > RARE).join(kept(average), "family")
+    place = F.shiftrightunsigned("key", 6)
+    marked = marked.withColumn("at", F.pmod(place, F.col("longs")).cast("int"))
+    parts = marked.groupBy("family", "id", "longs", "at").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("word")
+    )
+    common = parts.groupBy("family", "id", "longs").agg(F.sum("c").alias("common"), F.collect_list(F.struct("at", "word")).alias("words"))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            maps = []
+            for longs, words in zip(part.column(2).to_pylist(), part.column(4).to_pylist(), strict=True):
+                out = np.zeros(longs, dtype=np.int64)
+                out[[w["at"] for w in words]] = [w["word"] for w in words]
+                maps.append(out)
+            columns = [part.column(i) for i in (0, 1, 3)] + [pa.array(maps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["family", "id", "common", "map"])
+
+    common = common.mapInArrow(dense, "family long, id long, common long, map array<long>")
+    total = numerator + denominator
+    wide = members.join(common, ["family", "id"]).filter(F.col("common") * denominator >= F.col("size") * numerator)
+
+    def bucket(size):
+        return F.floor(F.log(size) * SIZE_STEPS)
+
+    def shared_at_most(mine: str, its: str, count: str):
+        # A bit that only one side has set stands for a shingle, or several, that the other side lacks.
+        lone = F.zip_with(mine, its, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.col(count) - F.aggregate(lone, F.lit(0), lambda x, y: x + y)
+
+    wide = kept(wide.withColumn("bucket", bucket(F.col("size"))))
+    left, right = sides(wide, ["family", "bucket"])
+    least = F.greatest(F.ceil(F.col("size") * numerator / denominator), F.lit(1))
+    most = F.floor(F.col("common") * total / numerator) - F.col("size")
+    reach = left.filter(most >= least).withColumn("bucket", F.explode(F.sequence(bucket(least), bucket(most))))
+    needed = (F.col("size") + F.col("hub_size")) * numerator
+    fits = [
+        bound * total >= needed
+        for bound in (
+            F.least("common", "hub_common"),
+            shared_at_most("map", "hub_map", "common"),
+            shared_at_most("hub_map", "map", "hub_common"),
+        )
+    ]
+    by_size = pairs(reach, right, ["family", "bucket"], *fits)
+    return by_shingle.union(by_size).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Pairs whose full sets have ``denominator * |intersection| >= numerator * |union|``.
 
@@ -228,10 +337,13 @@ def linked_components(
     denominator: int,
     split: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None,
     rounds: int = 4,
+    small: int | None = None,
 ) -> DataFrame:
     """id, component of every id with a verified link.
 
-    ``heads`` is a stored table of id, roots and bits.  ``sets_of`` gives the sets of the ids in a one-column table.
+    ``heads`` is a stored table of id, roots and bits.  With ``small``, nodes of more rows that hold a family
+    are looked through by ``family_pairs``; ``heads`` then has ``size``, the number of shingles, too.
+    ``sets_of`` gives the sets of the ids in a one-column table.
     ``split``, if given, takes the rows of mixed nodes and returns those to compare now and the rows (node, place -1,
     id) of smaller nodes to look at in the next round.
     """
@@ -248,16 +360,25 @@ def linked_components(
     keys = kept(keys.join(kept(several), "node"))
     edges = links(hub_pairs(keys, heads))
     comp = kept(components(edges))
-    found, rest = [], keys
+    found, families, rest = [], [], keys
     for i in range(rounds):
         mixed = kept(with_components(rest, comp))
+        if small is not None:
+            # A main component of some size marks a family; what still is large after the last round is treated alike.
+            family = F.col("n") > small
+            if split and i + 1 < rounds:
+                family = family & (FAMILY * (F.col("n") - F.col("rest")) >= F.col("n"))
+            families.append(mixed.filter(family).select(F.col("major").alias("family"), "id", "component"))
+            mixed = mixed.filter(~family)
         now, rest = split(mixed) if split and i + 1 < rounds else (mixed, None)
         found.append(cross_pairs(now, heads))
         if rest is None or rest.isEmpty():
             break
-    pairs = found[0]
-    for other in found[1:]:
-        pairs = pairs.union(other)
+    if families:
+        members = kept(reduce(DataFrame.union, families).distinct())
+        if not members.isEmpty():
+            found.append(family_pairs(members, heads, sets_of, numerator, denominator))
+    pairs = reduce(DataFrame.union, found)
     more = links(pairs.distinct())
     if more.isEmpty():
         return comp

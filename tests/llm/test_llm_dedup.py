@@ -10,6 +10,7 @@ from llm.llm_cases import frame, shingles, similar, smallest_reachable, texts, w
 from pyspark.sql import functions as F
 
 from clickfeat.llm import exact, near, paragraphs, similar as links
+from clickfeat.llm.common import pruned
 
 
 def unique_ids(rows):
@@ -173,3 +174,74 @@ def test_repeated_passages_odd_rows(spark):
     got = paragraphs.repeated_passages(frame(spark)).collect()
     assert {6, 7, 8, 17, 20} <= {r.doc_id for r in got} and not {1, 2, 3, 4, 5, 12, 13, 15, None} & {r.doc_id for r in got}
     assert paragraphs.repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_families_of_edited_copies_match_all_pairs(spark):
+    """One large family: edits, truncations, insertions and variants of a variant, many of them below 0.8 to the original."""
+    rng = random.Random(11)
+    base = words(rng, 150).split(" ")
+    variant = base[:60] + words(rng, 45).split(" ") + base[60:]
+    rows = []
+    for i in range(240):
+        now = list(rng.choice([base, base, base, variant]))
+        for _ in range(rng.choice([0, 1, 2, 4, 7, 9])):
+            now[rng.randrange(len(now))] = f"edit{rng.randrange(400)}"
+        if i % 5 == 0:
+            now = now[: len(now) - rng.randrange(60)]
+        rows.append((i, " ".join(now)))
+    # Shorter copies of some members: alike them, but not the original.
+    rows += [(1000 + i, " ".join(t.split(" ")[: -rng.randrange(1, 15)])) for i, t in rows[::7]]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if similar(sets[a], sets[b])]
+    want = smallest_reachable(list(sets), pairs)
+    assert 1 < len(set(want.values())) < len(rows)
+    got = near.near_groups(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+@pytest.mark.parametrize("rare", [1, 3, 32])
+def test_family_pairs_keep_every_link(spark, monkeypatch, rare):
+    """All links across components are among the candidates, however many members make a shingle common."""
+    monkeypatch.setattr(links, "RARE", rare)
+    rng = random.Random(rare)
+    sets = {}
+    for i in range(120):
+        kept = set(rng.sample(range(100), rng.randrange(70, 101)))
+        sets[i] = kept | {1000 + rng.randrange(60) for _ in range(rng.randrange(25))}
+    heads = spark.createDataFrame([(i, [0] * 8, len(s)) for i, s in sets.items()], "id long, bits array<long>, size long")
+    stored = [(i, b"".join(x.to_bytes(8, "little") for x in sorted(s))) for i, s in sets.items()]
+    stored = spark.createDataFrame(stored, "id long, shingles binary")
+    # Half of the rows are the main component; the others are apart.
+    families = spark.createDataFrame([(0, i, 0 if i % 2 == 0 else i) for i in sets], "family long, id long, component long")
+    found = links.family_pairs(families, heads, lambda ids: stored.join(ids, "id"), 80, 100)
+    rows = [(r.a, r.b) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and all(a < b and (a % 2 or b % 2) for a, b in rows)
+    linked = {(a, b) for a, b in itertools.combinations(sets, 2) if (a % 2 or b % 2) and similar(sets[a], sets[b])}
+    assert linked and linked <= set(rows)
+
+
+def test_pruned_rows_hold_every_id(spark):
+    rows = spark.range(-500, 20_000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("t"))
+    ids = spark.range(-500, 20_000, 7)
+    left = {r.doc_id for r in pruned(rows, ids, "doc_id").collect()}
+    wanted = set(range(-500, 20_000, 7))
+    assert wanted <= left and len(left) < len(wanted) + 20
+    assert pruned(rows, ids.limit(0), "doc_id").count() == 0
+
+
+def test_few_pairs_of_a_family_are_left_to_confirm(spark, monkeypatch):
+    """Edited copies whose edits differ, without their original: about 1,100 of 179,700 pairs are linked."""
+    asked = []
+    check = links.verified
+    monkeypatch.setattr(links, "verified", lambda pairs, *rest: asked.append(pairs.count()) or check(pairs, *rest))
+    rng = random.Random(8)
+    base = words(rng, 200).split(" ")
+    rows = []
+    for i in range(600):
+        now = list(base)
+        for at in rng.sample(range(200), rng.randrange(3, 9)):
+            now[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(now)))
+    got = near.near_groups(frame(spark, rows)).collect()
+    assert len(got) == 600
+    assert sum(asked) < 179_700 / 10
