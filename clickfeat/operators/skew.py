@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickfeat.session import broadcast_rows, hot_rows, materialise, slice_rows
+from clickfeat.session import broadcast_rows, hot_rows, materialise, slice_rows, task_count, task_rows
 
 # Rows are spread over this many equal ranges of a 64-bit hash when an exact
 # rank in hash order is needed.  It bounds the offset table (rows per group).
@@ -33,6 +33,12 @@ def largest_group(df: DataFrame, keys: Sequence[str], weight: str | None = None)
     return df.groupBy(*keys).agg(rows.alias("__n")).agg(F.max("__n")).first()[0] or 0
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the biggest key, and all rows, from one pass."""
+    row = key_counts(df, keys).agg(F.max("__n"), F.sum("__n")).first()
+    return row[0] or 0, row[1] or 0
+
+
 def is_skewed(
     df: DataFrame, keys: Sequence[str], limit: int | None = None, weight: str | None = None
 ) -> bool:
@@ -192,7 +198,7 @@ def sliced_neighbours(
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (source.agg(F.max(row)).first()[0] or 0) + 1
-    width = max(1, min(slice_rows(spark), -(-rows // (2 * parts))))
+    width = max(1, min(slice_rows(spark), task_rows(spark), -(-rows // (2 * parts))))
     boxed = F.struct(value.alias("x"))
     place = F.floor(F.col(row) / F.lit(width)).cast("long")
     columns = sorted({c for keys in key_sets for c in keys})
@@ -219,7 +225,7 @@ def sliced_neighbours(
     )
     # One row per set.
     sizes = {r["__set"]: r["count"] for r in edges.groupBy("__set").count().collect()}
-    out = df.withColumns({"__slice": place, "__v": boxed}).repartition("__slice")
+    out = df.withColumns({"__slice": place, "__v": boxed}).repartition(task_count(spark, rows), "__slice")
     for i, keys in enumerate(key_sets):
         w = Window.partitionBy("__slice", *keys).orderBy(row)
         out = out.withColumns(
