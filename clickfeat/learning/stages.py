@@ -194,19 +194,21 @@ def draw_thresholds(low: Sequence[float], high: Sequence[float], splits: int, rn
 
 def discretise(df: DataFrame, cuts: Sequence[Sequence[float]]) -> DataFrame:
     """Add ``__steps``: for each feature the number of thresholds below its value."""
-    values = vector_to_array(FEATURES)
-    steps = [
-        sum(((values[i] > F.lit(cut)).cast("double") for cut in own), F.lit(0.0)) for i, own in enumerate(cuts)
-    ]
-    return df.withColumn("__steps", array_to_vector(F.array(*steps)))
+    # One expression whatever the number of thresholds: written out, the comparisons make code too long to be compiled.
+    thresholds = F.lit([[float(cut) for cut in own] for own in cuts])
+    steps = F.zip_with(
+        vector_to_array(FEATURES), thresholds, lambda x, own: F.size(F.filter(own, lambda cut: cut < x)).cast("double")
+    )
+    return df.withColumn("__steps", array_to_vector(steps))
 
 
 def fit_random_trees(
     df: DataFrame, size: int, params: Params | None = None, *, groups: int = 4, splits: int = 16, seed: int = 0
 ) -> RandomTrees:
     """Regression trees on random thresholds: every group draws its own, and its trees see the features only through them."""
-    values = vector_to_array(FEATURES)
-    row = df.agg(*[f(values[i]).alias(f"{n}{i}") for n, f in (("a", F.min), ("b", F.max)) for i in range(size)]).first()
+    values = F.col("__values")
+    opened = df.select(vector_to_array(FEATURES).alias("__values"))
+    row = opened.agg(*[f(values[i]).alias(f"{n}{i}") for n, f in (("a", F.min), ("b", F.max)) for i in range(size)]).first()
     low, high = ([float(row[f"{n}{i}"] or 0.0) for i in range(size)] for n in "ab")
     out = RandomTrees([], [])
     chosen = {"featureSubsetStrategy": "0.6", **int_params(params or {})}
@@ -218,5 +220,7 @@ def fit_random_trees(
         if WEIGHT in df.columns:
             maker = maker.setWeightCol(WEIGHT)
         out.thresholds.append(cuts)
-        out.models.append(maker.fit(discretise(df, cuts)))
+        # A fit reads its rows several times before it keeps them.
+        kept = [LABEL, *([WEIGHT] if WEIGHT in df.columns else []), "__steps"]
+        out.models.append(maker.fit(stored(discretise(df, cuts).select(*kept), "steps")))
     return out

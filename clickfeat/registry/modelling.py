@@ -437,6 +437,7 @@ def _sound_sql(bound: float) -> str:
 
 def _sound(scored: DataFrame, bound: float) -> DataFrame:
     """One row: rows, whether all scores lie between 0 and 1, whether the AUC passes the bound."""
+    scored = stored(scored, "scored")
     auc = score.auc_exact(scored, "score", "label").select((F.col("auc") > bound).alias(f"auc_above_{str(bound).replace('.', '_')}"))
     checked = scored.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.coalesce(F.col("score").between(0, 1), F.lit(False))), F.lit(True)).alias("in_range")
