@@ -392,7 +392,9 @@ def hashed_table(clicks: DataFrame) -> DataFrame:
     hashed = hash_tokens(words, "tokens")
     labelled = hashed.withColumn("label", F.col("is_attributed").cast("double"))
     weighted = labelled.withColumn("weight", row_weight())
-    return split.folds_contiguous(weighted, 3).select("row_id", "fold", "weight", "label", "features")
+    table = split.folds_contiguous(weighted, 3).select("row_id", "fold", "weight", "label", "features")
+    # A scan has as few tasks as the log has row groups; rows are dealt over all tasks before they are fitted and scored.
+    return stored(table.repartition("row_id"), "hashed")
 
 
 def category_table(clicks: DataFrame) -> DataFrame:
