@@ -74,3 +74,12 @@ def test_clean_documents_stay(spark):
     first = corpus_pipeline.keep_known_languages(spark, docs, DATA)
     assert first.count() == docs.filter("text rlike '[A-Za-zÀ-ÿ]'").count()
     assert langid.UNDETERMINED == "und"
+
+
+def test_stages_keep_arrow_batches_small(spark):
+    """Batches of 10,000 long texts filled executors (pipeline, pii stage)."""
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars int")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        spark.conf.unset(corpus_pipeline.BATCH_CONF)
+        assert stage(spark, docs, "").count() == 1
+        assert int(spark.conf.get(corpus_pipeline.BATCH_CONF)) <= 1000
