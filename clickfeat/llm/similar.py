@@ -38,15 +38,19 @@ RARE = 32
 FAMILY = 8
 # Sizes within 2 percent share a bucket where members of like size are looked up.
 SIZE_STEPS = 50
+# Words whose hash a task remembers.
+KNOWN_WORDS = 200_000
+# Shingles hashed at once.
+HASH_STEP = 128
 
 _MULTIPLY, _ADD = np.random.default_rng(77).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; emptied when it holds half a million words."""
+    """Word to 64-bit hash; emptied when it holds ``KNOWN_WORDS`` words, some 40 MB a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -75,9 +79,11 @@ def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray
 def min_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
     out = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
     multiply, add = _MULTIPLY[:count, None], _ADD[:count, None]
-    for start in range(0, len(shingles), 4096):
-        part = shingles[None, start : start + 4096] * multiply + add
-        out = np.minimum(out, part.min(axis=1))
+    # Steps that stay in the cache; a large array would be fetched from the system and given back each time.
+    for start in range(0, len(shingles), HASH_STEP):
+        part = shingles[None, start : start + HASH_STEP] * multiply
+        part += add
+        np.minimum(out, part.min(axis=1), out=out)
     # The low bits of a product are weak; fold the high ones in.
     return out ^ (out >> np.uint64(29))
 

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from llm.llm_cases import frame, shingles, similar, smallest_reachable, texts, words
 from pyspark.sql import functions as F
@@ -245,3 +246,16 @@ def test_few_pairs_of_a_family_are_left_to_confirm(spark, monkeypatch):
     got = near.near_groups(frame(spark, rows)).collect()
     assert len(got) == 600
     assert sum(asked) < 179_700 / 10
+
+
+def test_min_hashes_hold_little_at_once():
+    """Least values of all shingles, without an array of 256 hashes of thousands of shingles (op8, pipeline)."""
+    import tracemalloc
+
+    shingles = np.random.default_rng(3).integers(0, 1 << 63, size=5000, dtype=np.uint64)
+    want = np.array([((shingles * m + a).min()) for m, a in zip(links._MULTIPLY, links._ADD)])
+    tracemalloc.start()
+    got = links.min_hashes(shingles, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want ^ (want >> np.uint64(29))).all() and peak < 1_000_000
