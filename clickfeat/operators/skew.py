@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickfeat.session import broadcast_rows, hot_rows, materialise, slice_rows, task_count, task_rows
+from clickfeat.session import broadcast_rows, dealt, hot_rows, materialise, slice_rows, task_rows
 
 # Rows are spread over this many equal ranges of a 64-bit hash when an exact
 # rank in hash order is needed.  It bounds the offset table (rows per group).
@@ -225,7 +225,7 @@ def sliced_neighbours(
     )
     # One row per set.
     sizes = {r["__set"]: r["count"] for r in edges.groupBy("__set").count().collect()}
-    out = df.withColumns({"__slice": place, "__v": boxed}).repartition(task_count(spark, rows), "__slice")
+    out = dealt(df.withColumns({"__slice": place, "__v": boxed}), rows, "__slice")
     for i, keys in enumerate(key_sets):
         w = Window.partitionBy("__slice", *keys).orderBy(row)
         out = out.withColumns(

@@ -26,7 +26,7 @@ from clickfeat.operators.aggregate import corrected_skewness, weighted_measure,
 from clickfeat.operators.sequence import NO_NEXT_CLICK, add_sequence, add_sliced_sequences
 from clickfeat.operators.skew import attach_by_key, group_sizes, key_counts
 from clickfeat.plans.specs import SEQUENCE_KINDS, FeatureSpec
-from clickfeat.session import broadcast_rows, hot_rows, materialise, task_count
+from clickfeat.session import broadcast_rows, dealt, hot_rows, materialise
 
 # (partition columns as a set, ordering columns behind them)
 Layout = tuple[frozenset[str], tuple[str, ...]]
@@ -97,13 +97,13 @@ def _window_columns(spec: FeatureSpec, w_all: Window, w_ordered: Window | None,
 
 
 def add_anchored(
-    df: DataFrame, specs: Sequence[FeatureSpec], anchor: str, time: str, row: str, wrap_day: bool, tasks: int
+    df: DataFrame, specs: Sequence[FeatureSpec], anchor: str, time: str, row: str, wrap_day: bool, rows: int
 ) -> DataFrame:
-    """One shuffle by the anchor into ``tasks`` parts, one sort per chain of nested key sets."""
+    """One shuffle of the ``rows`` clicks by the anchor, one sort per chain of nested key sets."""
     by_layout: dict[Layout, list[FeatureSpec]] = defaultdict(list)
     for spec in specs:
         by_layout[layout_of(spec, row)].append(spec)
-    out = df.repartition(tasks, anchor)
+    out = dealt(df, rows, anchor)
     for columns, members in sort_chains(by_layout):
         out = out.sortWithinPartitions(*columns)
         for keys, order in sorted(members, key=lambda m: -len(m[0]) - len(m[1])):
@@ -232,15 +232,14 @@ def add_features(
     out = add_joined(df, others, time, row, wrap_day, limit, False) if others else df
     if anchored:
         largest, rows = group_sizes(df, [anchor])
-        tasks = task_count(df.sparkSession, rows)
         if largest <= limit:
-            out = add_anchored(out, anchored, anchor, time, row, wrap_day, tasks)
+            out = add_anchored(out, anchored, anchor, time, row, wrap_day, rows)
         else:
             # At most rows/limit anchors.
             over = key_counts(df, [anchor]).filter(F.col("__n") > limit)
             hot = F.broadcast(materialise(over.select(anchor)))
             cold = out.join(hot, anchor, "left_anti")
-            cold = add_anchored(cold, anchored, anchor, time, row, wrap_day, tasks)
+            cold = add_anchored(cold, anchored, anchor, time, row, wrap_day, rows)
             # Features of the hot anchors are worked out on the narrow clicks.
             heavy = df.join(hot, anchor, "left_semi")
             heavy = add_joined(heavy, anchored, time, row, wrap_day, limit, True)
