@@ -10,22 +10,47 @@ import random
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfeat.learning.learners import LABEL, SCORE, Learner, assemble, score
+from clickfeat.learning.learners import FEATURES, LABEL, SCORE, WEIGHT, Learner, assemble, score
 from clickfeat.operators.score import auc_exact
 from clickfeat.operators.skew import HASH_BITS, seeded_hash
 from clickfeat.operators.split import sample_exact, split_random
 from clickfeat.session import stored
 
+# Fits that run at the same time, so that the short jobs of one fill the gaps of the other; each keeps its rows in memory.
+FITS_AT_ONCE = 2
+
 
 def auc_of(df: DataFrame, score_col: str = SCORE, label: str = LABEL) -> float:
     value = auc_exact(df, score_col, label).first()["auc"]
     return float("nan") if value is None else float(value)
 
 
+def aucs_of(models: Sequence[Model], df: DataFrame, label: str = LABEL) -> list[float]:
+    """AUC of each model on the rows of ``df``, which are read and ranked once for all of them; NaN without both classes."""
+    out = df.select(FEATURES, label)
+    names = [f"__auc{i}" for i in range(len(models))]
+    for name, model in zip(names, models):
+        out = score(model, out, name)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("model"), F.col(n).alias(SCORE)) for i, n in enumerate(names)]))
+    long = out.select(F.col(label).alias(LABEL), each.alias("__one")).select(LABEL, "__one.*")
+    found = {r["model"]: r["auc"] for r in auc_exact(long, SCORE, LABEL, ["model"]).select("model", "auc").collect()}
+    return [float("nan") if found.get(i) is None else float(found[i]) for i in range(len(models))]
+
+
+def fit_all(df: DataFrame, wanted: Sequence[tuple[Learner, Mapping | None]], at_once: int = FITS_AT_ONCE) -> list[Model]:
+    """A model per learner and parameters, all fitted on the rows of ``df``, ``at_once`` of them at a time."""
+    fit = inheritable_thread_target(df.sparkSession)(lambda one: one[0].fit(df, one[1]))
+    with ThreadPool(max(1, min(at_once, len(wanted)))) as pool:
+        return pool.map(fit, wanted, chunksize=1)
+
+
 def cross_validate(
     df: DataFrame, learner: Learner, params: Mapping | None = None, *, fold: str = "fold", k: int, test: DataFrame | None = None, row: str = "row_id"
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:

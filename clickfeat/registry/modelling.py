@@ -370,11 +370,11 @@ NUMBERS = ["ip_app_co", "ip_cu_c", "ip_app_chl_var_h", "app_chl_co", "hour", "ch
 
 
 def training_table(clicks: DataFrame) -> DataFrame:
-    """Clicks with a handful of features, a dense vector, weights and three folds, stored."""
+    """Clicks with a handful of features as a dense vector, weights and three folds, stored."""
     features = add_features(clicks, pick("ip_app_co", "ip_cu_c", "ip_app_chl_var_h", "app_chl_co"))
     table = learners.assemble(features.withColumn("weight", row_weight()), NUMBERS)
     folds = split.folds_contiguous(table, 3)
-    return stored(folds.select("row_id", "fold", "weight", "label", "features", *NUMBERS), "training")
+    return stored(folds.select("row_id", "fold", "weight", "label", "features"), "training")
 
 
 def _fit_and_score(name: str, params: dict, prepare=None) -> None:
@@ -550,12 +550,11 @@ def stack_folds(clicks: DataFrame) -> DataFrame:
 def learner_registry(clicks: DataFrame) -> DataFrame:
     """Training AUC of every registered learner with its first parameter values."""
     table = training_table(clicks)
-    rows = []
     quick = {"mlp": {"layers": [len(NUMBERS), 4, 2], "maxIter": 3}}
-    for name, learner in sorted(learners.REGISTRY.items()):
-        params = quick.get(name, {"maxIter": 3} if name not in ("rf", "extra_trees") else {"numTrees": 3})
-        model = learner.fit(table, params)
-        rows.append((name, tune.auc_of(learners.score(model, table))))
+    names = sorted(learners.REGISTRY)
+    params = [quick.get(name, {"maxIter": 3} if name not in ("rf", "extra_trees") else {"numTrees": 3}) for name in names]
+    models = tune.fit_all(table, [(learners.get_learner(name), chosen) for name, chosen in zip(names, params)])
+    rows = list(zip(names, tune.aucs_of(models, table)))
     return clicks.sparkSession.createDataFrame(rows, "learner string, auc double")
 
 
