@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickfeat.llm.common import kept, slices, stored, texts_of
+from clickfeat.llm.common import kept, pruned, slices, stored, texts_of
 from clickfeat.llm.similar import HASHES, WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
 
 MIN_WORDS = 50
@@ -101,89 +101,118 @@ def lines_of(text: str, min_words: int) -> list[tuple[int, list[bytes]]]:
     return out
 
 
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def paragraph_table(rows: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, start, n_words, class (digest of the words), bands, bits of every paragraph."""
+    """doc_id, start, n_words, class (digest of the words), bands of every paragraph; bands need few of the min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in slices(batches):
-            docs, starts, sizes, classes, bands, bits = [], [], [], [], [], []
+            docs, starts, sizes, classes, bands = [], [], [], [], []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 for start, words in lines_of(text, min_words):
-                    tokens = min_hashes(shingle_set(words, SHINGLE, known), HASHES)
+                    tokens = min_hashes(shingle_set(words, SHINGLE, known), BANDS * ROWS)
                     docs.append(doc)
                     starts.append(start)
                     sizes.append(len(words))
-                    classes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                    classes.append(digest_of(words))
                     band = np.arange(1, BANDS + 1, dtype=np.uint64)
-                    for row in tokens[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+                    for row in tokens.reshape(BANDS, ROWS).T:
                         band = (band ^ (band >> np.uint64(29))) * _BASES[0] + row
                     bands.append(band.view(np.int64))
-                    bits.append(two_bits(tokens))
             columns = [
                 pa.array(docs, pa.int64()),
                 pa.array(starts, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(classes, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
-                pa.array(bits, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "class", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "class", "bands"])
 
-    return rows.mapInArrow(
-        run, "doc_id long, start long, n_words long, class binary, bands array<long>, bits array<long>"
-    )
+    return rows.mapInArrow(run, "doc_id long, start long, n_words long, class binary, bands array<long>")
 
 
 def paragraph_sets(rows: DataFrame, min_words: int) -> DataFrame:
+    """class, id (doc_id, start) and shingles of every paragraph."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in slices(batches):
-            docs, starts, sets = [], [], []
-            for doc, text, wanted in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                wanted = set(wanted)
+            docs, starts, classes, sets = [], [], [], []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 for start, words in lines_of(text, min_words):
-                    if start in wanted:
-                        docs.append(doc)
-                        starts.append(start)
-                        sets.append(shingle_set(words, SHINGLE, known).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sets, pa.binary())],
-                ["doc_id", "start", "shingles"],
-            )
+                    docs.append(doc)
+                    starts.append(start)
+                    classes.append(digest_of(words))
+                    sets.append(shingle_set(words, SHINGLE, known).tobytes())
+            columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(classes, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "class", "shingles"])
+
+    made = rows.mapInArrow(run, "doc_id long, start long, class binary, shingles binary")
+    return made.select("class", F.struct("doc_id", "start").alias("id"), "shingles")
+
+
+def bits_of(sets: DataFrame) -> DataFrame:
+    """class, id and two bits of each min-hash of a set, once for rows that repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            bits = [two_bits(min_hashes(np.frombuffer(x, dtype=np.uint64), HASHES)) for x in part.column(2).to_pylist()]
+            columns = [part.column(0), part.column(1), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "id", "bits"])
+
+    return sets.mapInArrow(run, "class binary, id struct<doc_id: long, start: long>, bits array<long>").dropDuplicates(["class", "id"])
+
 
-    made = rows.mapInArrow(run, "doc_id long, start long, shingles binary")
-    return made.select(F.struct("doc_id", "start").alias("id"), "shingles")
+def in_shared_bands(classes: DataFrame) -> DataFrame:
+    """The classes that share a band with another one (and a few others); most share none and are compared with nothing."""
+    bands = classes.select("class", F.posexplode("roots").alias("place", "root"))
+    bands = bands.select("class", F.xxhash64("place", "root").alias("node"))
+    several = bands.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    near = pruned(bands, kept(several), "node").select("class").distinct()
+    return pruned(classes, kept(near), "class")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_words, first (doc_id, start of the first member), n_docs, for windows of two documents or more."""
     windows = stored(window_table(rows), "windows")
     keys = ["key1", "key2"]
-    ends = windows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    repeated = kept(ends.filter("lo <> hi").select(*keys))
-    members = stored(windows.join(repeated, keys), "repeated")
-    # A document counts once; both sums are pre-aggregated.
-    first = members.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    docs = members.select(*keys, "doc_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
-    described = kept(first.join(docs, keys))
+    # Half of the key, and a bit map of those that repeat, leave few windows to compare by the whole key.
+    ends = windows.groupBy("key1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    repeated = kept(ends.filter("lo <> hi").select("key1"))
+    members = stored(pruned(windows, repeated, "key1"), "repeated")
+    # A document counts once; the first member comes from its counts, so that members are dealt by their key once here.
+    docs = members.groupBy(*keys, "doc_id").agg(F.min("start").alias("start"))
+    described = docs.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n_docs"))
+    described = kept(described.filter("n_docs > 1"))
     return members.join(described, keys).select("doc_id", "start", F.lit(WINDOW).cast("long").alias("n_words"), "first", "n_docs")
 
 
 def repeated_paragraphs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The same columns for paragraphs at similarity 0.8 or more, by components."""
-    units = stored(paragraph_table(rows, min_words), "paragraphs").withColumn("at", F.struct("doc_id", "start"))
-    classes = kept(units.groupBy("class").agg(F.min("at").alias("id")))
-    heads = units.join(classes.select("class", F.col("id").alias("at")), ["class", "at"], "left_semi").dropDuplicates(["class", "at"])
-    heads = stored(heads.select(F.col("at").alias("id"), F.col("bands").alias("roots"), "bits"), "heads")
+    units = stored(paragraph_table(rows, min_words), "paragraphs")
+    # Paragraphs of the same words have the same bands; the first of them stands for all.
+    first = F.min(F.struct("doc_id", "start")).alias("id")
+    classes = units.groupBy("class").agg(first, F.max("doc_id").alias("last"), F.first("bands").alias("roots"))
+    classes = stored(classes, "classes")
+    heads = kept(in_shared_bands(classes).select("class", "id", "roots"))
+    # Texts stay where they are: only sets of these heads (and of a few others) are worked out and moved.
+    docs = heads.select(F.col("id.doc_id").alias("doc_id")).distinct()
+    sets = stored(pruned(paragraph_sets(pruned(rows, docs, "doc_id"), min_words), heads.select("id"), "id"), "shingles")
+    heads = stored(heads.join(bits_of(sets), ["class", "id"]).select("id", "roots", "bits"), "heads")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = ids.select("id.doc_id", "id.start").groupBy("doc_id").agg(F.collect_set("start").alias("wanted"))
-        return stored(paragraph_sets(rows.join(wanted, "doc_id").select("doc_id", "text", "wanted"), min_words), "shingles")
+        return pruned(sets.select("id", "shingles"), ids, "id")
 
     comp = linked_components(heads, sets_of, NUMERATOR, DENOMINATOR)
-    named = kept(classes.join(comp, "id", "left").select("class", F.coalesce("component", "id").alias("first")))
-    members = units.select("doc_id", "start", "n_words", "class").join(named, "class")
+    linked = classes.select("class", "id", "last").join(comp.withColumnRenamed("component", "first"), "id", "left")
+    # A class of one document without a link is in no result.
+    linked = linked.filter(F.col("first").isNotNull() | (F.col("last") != F.col("id.doc_id")))
+    named = kept(linked.select("class", F.coalesce("first", "id").alias("first")))
+    members = pruned(units.select("doc_id", "start", "n_words", "class"), named.select("class"), "class").join(named, "class")
     members = stored(members.select("doc_id", "start", "n_words", "first"), "members")
     docs = members.select("first", "doc_id").distinct().groupBy("first").agg(F.count(F.lit(1)).alias("n_docs"))
     return members.join(kept(docs.filter("n_docs > 1")), "first").select("doc_id", "start", "n_words", "first", "n_docs")

@@ -259,3 +259,24 @@ def test_min_hashes_hold_little_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (got == want ^ (want >> np.uint64(29))).all() and peak < 1_000_000
+
+
+def test_only_paragraphs_that_share_a_band_are_compared(spark):
+    """Every paragraph got 256 min-hashes and moved its bits and text, whether anything was near it or not (op8)."""
+    rng = random.Random(21)
+    line = words(rng, 80)
+    rows = [(i, words(rng, 60)) for i in range(30)] + [(40, line), (41, line + " more"), (42, line)]
+    units = paragraphs.paragraph_table(frame(spark, rows), 50)
+    assert "bits" not in units.columns and units.count() == 33
+    classes = units.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("id"), F.first("bands").alias("roots"))
+    shared = {r.id.doc_id for r in paragraphs.in_shared_bands(classes).collect()}
+    assert shared == {40, 41}
+    got = paragraphs.repeated_passages(frame(spark, rows)).filter("kind = 'paragraph'").collect()
+    assert {(r.doc_id, r.first_doc_id, r.n_docs) for r in got} == {(40, 40, 3), (41, 40, 3), (42, 40, 3)}
+
+
+def test_known_words_hold_little(spark):
+    """The words a task remembers, beside a second task and the heap, took the pipeline over its memory."""
+    known = links.WordHashes()
+    assert all(known[b"w%d" % i] == known[b"w%d" % i] for i in range(100_000))
+    assert sum(len(w) + 33 + 36 for w in known) + known.__sizeof__() < 10 << 20
