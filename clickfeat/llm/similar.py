@@ -38,8 +38,8 @@ RARE = 32
 FAMILY = 8
 # Sizes within 2 percent share a bucket where members of like size are looked up.
 SIZE_STEPS = 50
-# Words whose hash a task remembers.
-KNOWN_WORDS = 200_000
+# Words whose hash a task remembers, in some 8 MB.
+KNOWN_WORDS = 40_000
 # Shingles hashed at once.
 HASH_STEP = 128
 
@@ -47,7 +47,7 @@ _MULTIPLY, _ADD = np.random.default_rng(77).integers(1, 1 << 63, size=(2, 256),
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; emptied when it holds ``KNOWN_WORDS`` words, some 40 MB a task."""
+    """Word to 64-bit hash; emptied when it holds ``KNOWN_WORDS`` words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > KNOWN_WORDS:
