@@ -22,39 +22,74 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickfeat.llm.common import kept, pruned, slices, stored, texts_of
-from clickfeat.llm.similar import HASHES, WordHashes, linked_components, two_bits, min_hashes, shingle_set, words_of
+from clickfeat.llm.similar import HASHES, linked_components, min_hashes_of_each, shingle_values, two_bits, words_of
 
 MIN_WORDS = 50
 SHINGLE = 5
 BANDS, ROWS = 16, 3
 NUMERATOR, DENOMINATOR = 80, 100
 WINDOW, SPREAD = 32, 20
+# Bytes of text, or of sets, a task works on at once; one row may have more.
+BLOCK_BYTES = 1 << 20
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 
 
-def anchored_windows(each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows of a text given as word hashes, and a 128-bit hash of each as two columns."""
+def blocks(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices that hold few bytes in a column, or one row: their words are worked on together."""
+    for part in slices(batches):
+        place = np.cumsum(pc.binary_length(part.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), part.num_rows]
+        for start, end in pairwise(cuts):
+            yield part.slice(start, end - start)
+
+
+def hashes_of(words: list[bytes]) -> bytes:
+    """64-bit hashes of words; most words of a text are rare, so that remembering them costs more than it spares."""
+    return b"".join(map(xxhash.xxh64_digest, words))
+
+
+def joined(hashes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashes), dtype=">u8").astype(np.uint64)
+
+
+def anchored_windows(each: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts of ``counts`` words, given as the hashes of their words, one text after the other.
+
+    Returns the text of each window, its start there, and a 128-bit hash of its words as two columns.
+    """
     count = len(each) - SHINGLE + 1
     if count < SPREAD or len(each) < WINDOW:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.uint64)
     value = np.zeros(count, dtype=np.uint64)
     for i in range(SHINGLE):
         value = (value ^ (value >> np.uint64(29))) * _BASES[0] + each[i : count + i]
-    value = (value ^ (value >> np.uint64(32))) * _BASES[1]
-    starts = np.empty(0, dtype=np.int64)
-    if count >= SPREAD:
-        views = np.lib.stride_tricks.sliding_window_view(value, SPREAD)
-        starts = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-    starts = starts[starts + WINDOW <= len(each)]
+    least = (value ^ (value >> np.uint64(32))) * _BASES[1]
+    # The first of the least values among 2, 4, 8, 16 and at last SPREAD neighbours.
+    at, width = np.arange(count), 1
+    while width < SPREAD:
+        step = min(width, SPREAD - width)
+        left, right = least[:-step], least[step:]
+        at = np.where(right < left, at[step:], at[:-step])
+        least = np.minimum(left, right)
+        width += step
+    text = np.repeat(np.arange(len(counts)), counts)
+    ends = np.cumsum(counts)
+    # Neighbours of one text only; their anchors never step back, so equal ones stand together.
+    at = at[text[: len(at)] == text[SPREAD + SHINGLE - 2 :]]
+    starts = at[np.diff(at, prepend=-1) != 0]
+    starts = starts[starts + WINDOW <= ends[text[starts]]]
     hashes = np.empty((len(starts), 2), dtype=np.uint64)
     for k, (base, inverse) in enumerate(zip(_BASES, _INVERSES, strict=True)):
         powers = np.full(len(each), base, dtype=np.uint64)
@@ -64,26 +99,21 @@ def anchored_windows(each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         back = np.full(len(each), inverse, dtype=np.uint64)
         back[0] = 1
         hashes[:, k] = (sums[starts + WINDOW] - sums[starts]) * np.cumprod(back)[starts]
-    return starts, hashes
+    text = text[starts]
+    return text, starts - (ends - counts)[text], hashes
 
 
 def window_table(rows: DataFrame) -> DataFrame:
     """doc_id, start, key1, key2 of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for part in slices(batches):
-            docs, starts, keys = [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                each = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-                at, hashed = anchored_windows(each)
-                docs.append(np.full(len(at), doc, dtype=np.int64))
-                starts.append(at)
-                keys.append(hashed.view(np.int64))
-            both = np.concatenate(keys)
+        for part in blocks(batches):
+            hashes = [hashes_of(words_of(text)) for text in part.column(1).to_pylist()]
+            text, starts, keys = anchored_windows(joined(hashes), np.array([len(x) // 8 for x in hashes], dtype=np.int64))
+            docs = part.column(0).to_numpy(zero_copy_only=False)[text]
+            keys = keys.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts)), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                [pa.array(docs), pa.array(starts), pa.array(keys[:, 0]), pa.array(keys[:, 1])],
                 ["doc_id", "start", "key1", "key2"],
             )
 
@@ -105,32 +135,50 @@ def digest_of(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def line_shingles(each: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of lines of ``sizes`` words, given as the hashes of their words, and how many shingles each line has.
+
+    Of fewer than ``SHINGLE`` words, the whole line is one shingle.  Shingles may repeat within a line.
+    """
+    counts = np.where(sizes < SHINGLE, np.minimum(sizes, 1), sizes - SHINGLE + 1)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    values = shingle_values(each, SHINGLE)
+    values = values[line[: len(values)] == line[SHINGLE - 1 :]]
+    short = np.flatnonzero((sizes < SHINGLE) & (sizes > 0))
+    if len(short):
+        ends = np.cumsum(sizes)
+        whole = [shingle_values(each[ends[i] - sizes[i] : ends[i]], int(sizes[i])) for i in short]
+        values = np.insert(values, (np.cumsum(counts) - counts)[short] - np.arange(len(short)), np.concatenate(whole))
+    return values, counts
+
+
+def line_columns(part: pa.RecordBatch, min_words: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Columns doc_id, start, n_words and class of the lines of a block, their shingles and the counts of these."""
+    docs, starts, sizes, classes, hashes = [], [], [], [], []
+    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+        for start, words in lines_of(text, min_words):
+            docs.append(doc)
+            starts.append(start)
+            sizes.append(len(words))
+            classes.append(digest_of(words))
+            hashes.append(hashes_of(words))
+    columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary())]
+    return columns, *line_shingles(joined(hashes), np.array(sizes, dtype=np.int64))
+
+
 def paragraph_table(rows: DataFrame, min_words: int) -> DataFrame:
     """doc_id, start, n_words, class (digest of the words), bands of every paragraph; bands need few of the min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for part in slices(batches):
-            docs, starts, sizes, classes, bands = [], [], [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for start, words in lines_of(text, min_words):
-                    tokens = min_hashes(shingle_set(words, SHINGLE, known), BANDS * ROWS)
-                    docs.append(doc)
-                    starts.append(start)
-                    sizes.append(len(words))
-                    classes.append(digest_of(words))
-                    band = np.arange(1, BANDS + 1, dtype=np.uint64)
-                    for row in tokens.reshape(BANDS, ROWS).T:
-                        band = (band ^ (band >> np.uint64(29))) * _BASES[0] + row
-                    bands.append(band.view(np.int64))
-            columns = [
-                pa.array(docs, pa.int64()),
-                pa.array(starts, pa.int64()),
-                pa.array(sizes, pa.int64()),
-                pa.array(classes, pa.binary()),
-                pa.array(bands, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_words", "class", "bands"])
+        for part in blocks(batches):
+            columns, shingles, counts = line_columns(part, min_words)
+            tokens = min_hashes_of_each(shingles, counts, BANDS * ROWS).reshape(-1, BANDS, ROWS)
+            bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(tokens), 1))
+            for row in range(ROWS):
+                bands = (bands ^ (bands >> np.uint64(29))) * _BASES[0] + tokens[:, :, row]
+            places = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * BANDS)
+            bands = pa.ListArray.from_arrays(places, pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*columns, bands], ["doc_id", "start", "n_words", "class", "bands"])
 
     return rows.mapInArrow(run, "doc_id long, start long, n_words long, class binary, bands array<long>")
 
@@ -139,16 +187,11 @@ def paragraph_sets(rows: DataFrame, min_words: int) -> DataFrame:
     """class, id (doc_id, start) and shingles of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for part in slices(batches):
-            docs, starts, classes, sets = [], [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for start, words in lines_of(text, min_words):
-                    docs.append(doc)
-                    starts.append(start)
-                    classes.append(digest_of(words))
-                    sets.append(shingle_set(words, SHINGLE, known).tobytes())
-            columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(classes, pa.binary()), pa.array(sets, pa.binary())]
+        for part in blocks(batches):
+            (docs, starts, _, classes), shingles, counts = line_columns(part, min_words)
+            places = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            sets = [np.unique(shingles[a:b]).tobytes() for a, b in pairwise(places)]
+            columns = [docs, starts, classes, pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "class", "shingles"])
 
     made = rows.mapInArrow(run, "doc_id long, start long, class binary, shingles binary")
@@ -159,9 +202,11 @@ def bits_of(sets: DataFrame) -> DataFrame:
     """class, id and two bits of each min-hash of a set, once for rows that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            bits = [two_bits(min_hashes(np.frombuffer(x, dtype=np.uint64), HASHES)) for x in part.column(2).to_pylist()]
-            columns = [part.column(0), part.column(1), pa.array(bits, pa.list_(pa.int64()))]
+        for part in blocks(batches, 2):
+            found = part.column(2).to_pylist()
+            counts = np.array([len(x) // 8 for x in found], dtype=np.int64)
+            hashes = min_hashes_of_each(np.frombuffer(b"".join(found), dtype=np.uint64), counts, HASHES)
+            columns = [part.column(0), part.column(1), pa.array([two_bits(x) for x in hashes], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["class", "id", "bits"])
 
     return sets.mapInArrow(run, "class binary, id struct<doc_id: long, start: long>, bits array<long>").dropDuplicates(["class", "id"])

@@ -42,6 +42,8 @@ SIZE_STEPS = 50
 KNOWN_WORDS = 40_000
 # Shingles hashed at once.
 HASH_STEP = 128
+# Shingles of several sets hashed at once, by one function after the other.
+RUN_STEP = 8192
 
 _MULTIPLY, _ADD = np.random.default_rng(77).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 
@@ -67,13 +69,18 @@ def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray
     if not n:
         return np.zeros(0, dtype=np.uint64)
     each = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
-    k = min(size, n)
-    value = np.full(n - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        value = (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + each[i : n - k + 1 + i]
+    return np.unique(shingle_values(each, min(size, n)))
+
+
+def shingle_values(each: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` neighbouring words, which are given as their hashes."""
+    count = max(len(each) - size + 1, 0)
+    value = np.full(count, size, dtype=np.uint64)
+    for i in range(size):
+        value = (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + each[i : count + i]
     value ^= value >> np.uint64(32)
     value *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(value)
+    return value
 
 
 def min_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
@@ -88,6 +95,20 @@ def min_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def min_hashes_of_each(shingles: np.ndarray, counts: np.ndarray, count: int) -> np.ndarray:
+    """``min_hashes`` of many sets, a row each: the sets stand one after the other and have ``counts`` shingles."""
+    out = np.full((len(counts), count), np.iinfo(np.uint64).max, dtype=np.uint64)
+    ends = np.cumsum(counts)
+    filled = np.flatnonzero(counts)
+    cuts = np.flatnonzero(np.diff(ends[filled] // RUN_STEP)) + 1
+    for run in np.split(filled, cuts) if len(filled) else []:
+        starts = ends[run] - counts[run]
+        part = shingles[starts[0] : ends[run[-1]]]
+        least = [np.minimum.reduceat(part * _MULTIPLY[k] + _ADD[k], starts - starts[0]) for k in range(count)]
+        out[run] = np.stack(least, axis=1)
+    return out ^ (out >> np.uint64(29))
+
+
 def two_bits(hashes: np.ndarray) -> list[int]:
     """Two bits of each min-hash: for each 64 of them, the low ones and the high ones as signed 64-bit numbers."""
     mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)

@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from llm.llm_cases import frame, shingles, similar, smallest_reachable, texts, words
 from pyspark.sql import functions as F
 
@@ -280,3 +283,98 @@ def test_known_words_hold_little(spark):
     known = links.WordHashes()
     assert all(known[b"w%d" % i] == known[b"w%d" % i] for i in range(100_000))
     assert sum(len(w) + 33 + 36 for w in known) + known.__sizeof__() < 10 << 20
+
+
+class Arrow:
+    """Takes the place of a table and runs the function of an Arrow step at once, in this process."""
+
+    def __init__(self, rows, size=400):
+        ids, contents = zip(*rows)
+        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(contents, pa.string())})
+        self.batches = table.to_batches(max_chunksize=size)
+
+    def mapInArrow(self, function, schema):
+        return [row for batch in function(iter(self.batches)) for row in batch.to_pylist()]
+
+
+def least_hashes(line, count):
+    """Min-hashes of a line, from its shingles one after the other."""
+    n = len(line)
+    k = min(paragraphs.SHINGLE, n)
+    values = []
+    for at in range(n - k + 1 if n else 0):
+        value = k
+        for word in line[at : at + k]:
+            value = ((value ^ (value >> 31)) * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(word)) % 2**64
+        values.append((value ^ (value >> 32)) * 0xD6E8FEB86659FD93 % 2**64)
+    least = [min(((v * int(m) + int(a)) % 2**64 for v in values), default=2**64 - 1) for m, a in zip(links._MULTIPLY[:count], links._ADD)]
+    return [x ^ (x >> 29) for x in least]
+
+
+def odd_texts():
+    rng = random.Random(31)
+    rows = ["", " ", "\n\n", "a", "a b c\n\nd", " \x0b a \x1f b", "x " * 120, "x y " * 90, "Bé " * 60 + "\n" + words(rng, 70)]
+    rows += [" ".join(rng.choice("ab") for _ in range(rng.randrange(90))) for _ in range(40)]
+    return list(enumerate(rows + [words(rng, n) for n in (23, 24, 25, 31, 32, 33, 50, 51, 52, 200)]))
+
+
+@pytest.mark.parametrize("block", [1, 300, 1 << 20])
+def test_texts_worked_on_together_give_what_each_gives_alone(monkeypatch, block):
+    """Windows and min-hashes of a block of texts do not cross from one text to the next (op8)."""
+    monkeypatch.setattr(paragraphs, "BLOCK_BYTES", block)
+    rows = odd_texts()
+    want = set()
+    for i, text in rows:
+        each = [xxhash.xxh64_intdigest(w) for w in links.words_of(text)]
+        values = []
+        for at in range(len(each) - paragraphs.SHINGLE + 1):
+            value = 0
+            for word in each[at : at + paragraphs.SHINGLE]:
+                value = ((value ^ (value >> 29)) * int(paragraphs._BASES[0]) + word) % 2**64
+            values.append((value ^ (value >> 32)) * int(paragraphs._BASES[1]) % 2**64)
+        for at in range(len(values) - paragraphs.SPREAD + 1):
+            start = min(range(at, at + paragraphs.SPREAD), key=values.__getitem__)
+            if start + paragraphs.WINDOW <= len(each):
+                want.add((i, start, *links.words_of(text)[start : start + paragraphs.WINDOW]))
+    contents = {i: links.words_of(text) for i, text in rows}
+    got = paragraphs.window_table(Arrow(rows))
+    assert {(r["doc_id"], r["start"], *contents[r["doc_id"]][r["start"] : r["start"] + paragraphs.WINDOW]) for r in got} == want
+    assert len(got) == len(want)
+    assert len({(r["key1"], r["key2"]) for r in got}) == len({w[2:] for w in want})
+
+    for least in (0, 3, 50):
+        lines = [(i, start, line) for i, text in rows for start, line in paragraphs.lines_of(text, least)]
+        units = paragraphs.paragraph_table(Arrow(rows), least)
+        assert [(u["doc_id"], u["start"], u["n_words"]) for u in units] == [(i, start, len(line)) for i, start, line in lines]
+        for unit, (_, _, line) in zip(units, lines, strict=True):
+            tokens = least_hashes(line, paragraphs.BANDS * paragraphs.ROWS)
+            bands = []
+            for b in range(paragraphs.BANDS):
+                band = b + 1
+                for token in tokens[b * paragraphs.ROWS : (b + 1) * paragraphs.ROWS]:
+                    band = ((band ^ (band >> 29)) * int(paragraphs._BASES[0]) + token) % 2**64
+                bands.append(band - (2**64 if band >= 2**63 else 0))
+            assert unit["bands"] == bands
+
+
+def test_texts_without_units_give_no_rows():
+    for rows in ([(1, "")], [(1, "a b"), (2, " \n")]):
+        assert paragraphs.window_table(Arrow(rows)) == paragraphs.paragraph_table(Arrow(rows), 50) == []
+
+
+def test_few_calls_for_a_paragraph():
+    """Each word was looked up and each paragraph hashed by itself, in some hundred calls: 1,215 CPU seconds a GB (op8)."""
+    rng = random.Random(41)
+    rows = [(i, words(rng, 60)) for i in range(400)]
+    for step in (paragraphs.window_table, lambda df: paragraphs.paragraph_table(df, 50)):
+        calls = [0]
+
+        def count(frame, event, arg):
+            calls[0] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            step(Arrow(rows))
+        finally:
+            sys.setprofile(None)
+        assert calls[0] < 40 * len(rows)
