@@ -39,6 +39,8 @@ SHINGLE = 5
 BANDS, ROWS = 16, 3
 NUMERATOR, DENOMINATOR = 80, 100
 WINDOW, SPREAD = 32, 20
+# Rows of a band above which its pairs are looked for by their rare shingles.
+SMALL = 64
 # Bytes of text, or of sets, a task works on at once; one row may have more.
 BLOCK_BYTES = 1 << 20
 
@@ -199,17 +201,18 @@ def paragraph_sets(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def bits_of(sets: DataFrame) -> DataFrame:
-    """class, id and two bits of each min-hash of a set, once for rows that repeat."""
+    """class, id, two bits of each min-hash of a set, and its size, once for rows that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, 2):
             found = part.column(2).to_pylist()
             counts = np.array([len(x) // 8 for x in found], dtype=np.int64)
             hashes = min_hashes_of_each(np.frombuffer(b"".join(found), dtype=np.uint64), counts, HASHES)
-            columns = [part.column(0), part.column(1), pa.array([two_bits(x) for x in hashes], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "id", "bits"])
+            columns = [part.column(0), part.column(1), pa.array([two_bits(x) for x in hashes], pa.list_(pa.int64())), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "id", "bits", "size"])
 
-    return sets.mapInArrow(run, "class binary, id struct<doc_id: long, start: long>, bits array<long>").dropDuplicates(["class", "id"])
+    made = sets.mapInArrow(run, "class binary, id struct<doc_id: long, start: long>, bits array<long>, size long")
+    return made.dropDuplicates(["class", "id"])
 
 
 def in_shared_bands(classes: DataFrame) -> DataFrame:
@@ -247,12 +250,12 @@ def repeated_paragraphs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     # Texts stay where they are: only sets of these heads (and of a few others) are worked out and moved.
     docs = heads.select(F.col("id.doc_id").alias("doc_id")).distinct()
     sets = stored(pruned(paragraph_sets(pruned(rows, docs, "doc_id"), min_words), heads.select("id"), "id"), "shingles")
-    heads = stored(heads.join(bits_of(sets), ["class", "id"]).select("id", "roots", "bits"), "heads")
+    heads = stored(heads.join(bits_of(sets), ["class", "id"]).select("id", "roots", "bits", "size"), "heads")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return pruned(sets.select("id", "shingles"), ids, "id")
 
-    comp = linked_components(heads, sets_of, NUMERATOR, DENOMINATOR)
+    comp = linked_components(heads, sets_of, NUMERATOR, DENOMINATOR, small=SMALL)
     linked = classes.select("class", "id", "last").join(comp.withColumnRenamed("component", "first"), "id", "left")
     # A class of one document without a link is in no result.
     linked = linked.filter(F.col("first").isNotNull() | (F.col("last") != F.col("id.doc_id")))

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from clickfeat.llm.common import kept, slices
 
@@ -249,20 +250,20 @@ def family_pairs(
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
-            families, ids, keys = [], [], []
-            for family, one, shingles in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            keys = []
+            for salt, shingles in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 found = np.frombuffer(shingles, dtype=np.uint64)
                 # A family's own key of each shingle.
-                mixed = (found ^ np.uint64(family & ((1 << 64) - 1))) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (found ^ np.uint64(salt & ((1 << 64) - 1))) * np.uint64(0x9E3779B97F4A7C15)
                 keys.append((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
-                families.append(np.full(len(found), family, dtype=np.int64))
-                ids.append(np.full(len(found), one, dtype=np.int64))
             if keys:
-                columns = [pa.array(np.concatenate(c)) for c in (families, ids, keys)]
+                rows = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                columns = [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(keys))]
                 yield pa.RecordBatch.from_arrays(columns, ["family", "id", "key"])
 
-    held = members.select("family", "id").join(sets, "id").select("family", "id", "shingles")
-    postings = kept(held.mapInArrow(post, "family long, id long, key long"))
+    named = members.select("family", "id").schema
+    held = members.select("family", "id").join(sets, "id").select("family", "id", F.xxhash64("family"), "shingles")
+    postings = kept(held.mapInArrow(post, StructType([*named, StructField("key", LongType())])))
     counted = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = kept(postings.join(kept(counted), "key"))
 
@@ -302,7 +303,8 @@ def family_pairs(
             columns = [part.column(i) for i in (0, 1, 3)] + [pa.array(maps, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["family", "id", "common", "map"])
 
-    common = common.mapInArrow(dense, "family long, id long, common long, map array<long>")
+    mapped = [StructField("common", LongType()), StructField("map", ArrayType(LongType()))]
+    common = common.mapInArrow(dense, StructType([*named, *mapped]))
     total = numerator + denominator
     wide = members.join(common, ["family", "id"]).filter(F.col("common") * denominator >= F.col("size") * numerator)
 
