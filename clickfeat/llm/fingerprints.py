@@ -156,7 +156,8 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = RAD
     upto = F.element_at(F.array(*[F.lit((2 << j) - 1) for _, j in tables]), F.col("t") + 1)
     pair = F.element_at(F.array(*[F.lit(1 << i | 1 << j) for i, j in tables]), F.col("t") + 1)
     near = distance(F.col("q1"), F.col("q2"), F.col("h1"), F.col("h2")) <= radius
-    return a.join(b, ["t", "front"]).filter(near & (agree.bitwiseAND(upto) == pair)).select("q1", "q2", "h1", "h2")
+    # Spark sizes an exploded table as if it had one table's rows, and would broadcast 28 times as many.
+    return a.hint("merge").join(b.hint("merge"), ["t", "front"]).filter(near & (agree.bitwiseAND(upto) == pair)).select("q1", "q2", "h1", "h2")
 
 
 def fingerprint_edits(

@@ -471,6 +471,14 @@ def test_radius_search_matches_all_pairs(spark):
         fingerprints.within_radius(df, df, 7)
 
 
+def test_radius_search_broadcasts_no_exploded_table(spark):
+    """Each fingerprint becomes 28 rows, of which Spark's size estimate counts one."""
+    df = spark.range(50_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
+    found = fingerprints.within_radius(df.limit(10), df)
+    assert len(found.collect()) == 10
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bpe_matches_the_library(spark):
     from tokenizers import Tokenizer
 
