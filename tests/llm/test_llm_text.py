@@ -387,6 +387,23 @@ def test_packing_is_near_the_bound():
     assert max(p[3] + p[2] for p in plan) <= 3500 * 1.01
 
 
+def test_packing_program_is_solved():
+    """The linear program covers every length, at an amount close to a lower bound, whatever the number of lengths."""
+    rng = random.Random(11)
+    many = {n: rng.choice([1, 2, 3, 40]) for n in rng.sample(range(1, 512), 400)}
+    hot = {**{n: 3 for n in range(20, 300, 7)}, 64: 5000}
+    halves = {n: rng.choice([1, 1000]) for n in range(260, 500, 3)}  # two never fit, so each piece takes a sequence
+    for histogram, bound in ((many, None), (hot, None), (halves, sum(halves.values()))):
+        covered, total = Counter(), 0.0
+        for config, amount in packing.solve_configurations(histogram, 512):
+            assert sum(config) <= 512 and amount >= 0
+            total += amount
+            for n in config:
+                covered[n] += amount
+        assert all(covered[n] >= c * (1 - 1e-9) for n, c in histogram.items())
+        assert total <= 1.06 * (bound or sum(n * c for n, c in histogram.items()) / 512)
+
+
 def brute_fingerprint(text):
     found = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
     heavy = [int(len(w) > 3) for w in found]
