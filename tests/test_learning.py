@@ -196,3 +196,18 @@ def test_hashed_rows_are_dealt_before_the_fit(spark):
     files = table.inputFiles()
     assert files and all("hashed-" in f for f in files)
     assert table.count() == read_clicks(spark, DATA).count()
+
+
+def test_learner_registry_fits_whole_learners(clicks, monkeypatch):
+    """No learner has fewer iterations or trees, or smaller ones, than it has by itself."""
+    from clickfeat.registry import modelling
+
+    wanted = []
+    monkeypatch.setattr(modelling.tune, "fit_all", lambda table, fits: wanted.extend(fits) or fits)
+    monkeypatch.setattr(modelling.tune, "aucs_of", lambda models, table: [0.5] * len(models))
+    assert modelling.learner_registry(clicks).count() == len(wanted) == len(learners.REGISTRY)
+    for learner, params in wanted:
+        estimator = learner.create(params)
+        for size in ("maxIter", "numTrees", "maxDepth"):
+            if estimator.hasParam(size):
+                assert estimator.getOrDefault(size) >= type(estimator)().getOrDefault(size)
